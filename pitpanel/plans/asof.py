@@ -29,11 +29,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     keys_l = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
     lhs = left.select(*keys_l, (F.col(left_ts) * sign).alias("_o"), F.lit(left_tie).alias("_tie"),
                       payload_l.alias("_l"))
-    rhs = right.select(*keys_l, (F.col(right_ts) * sign).alias("_o"),
+    # a row without a key or a time never matches and never hides a match
+    rhs = right.dropna(subset=[*by, right_ts]).select(*keys_l, (F.col(right_ts) * sign).alias("_o"),
                        F.lit(right_tie).alias("_tie"), payload_r.alias("_r"))
     merged = lhs.unionByName(rhs, allowMissingColumns=True)
     keys = [f"_k{i}" for i in range(len(by))]
-    done = running(merged, keys, ["_o", "_tie"], time_bucket("_o", bucket_ms),
+    # left rows without a time sort first; spread them, they may be many
+    undated = F.lit(-(2 ** 62)) + F.pmod(F.xxhash64("_l"), F.lit(1024))
+    done = running(merged, keys, ["_o", "_tie"],
+                   F.coalesce(time_bucket("_o", bucket_ms), undated),
                    {"_hit": ("last", F.col("_r"))})
     return (done.filter(F.col("_l").isNotNull())
             .select("_l.*", *[F.col("_hit")[c].alias(c) for c in cols]))

@@ -58,7 +58,8 @@ def running(df: DataFrame, by: list[str], order: list[str], bucket: Column,
 
     ``specs`` maps an output column to ``(kind, value)`` with kind in sum, count, max, min,
     last, first. ``order`` must be a total order within the group, and ``bucket`` must not
-    decrease along it.
+    decrease along it. Group keys and buckets are expected to be defined; a row without one is
+    kept but receives nothing from other buckets.
     """
     keyed = df.withColumn(_BUCKET, bucket)
     key = F.struct(*order)
@@ -69,7 +70,7 @@ def running(df: DataFrame, by: list[str], order: list[str], bucket: Column,
     carry = parts.select(*by, _BUCKET, *[
         _carry_over(k, F.col(f"_part_{out}"), earlier).alias(f"_carry_{out}")
         for out, (k, _) in specs.items()])
-    joined = keyed.join(carry, by + [_BUCKET])
+    joined = keyed.join(carry, by + [_BUCKET], "left")
     within = W.partitionBy(*by, _BUCKET).orderBy(*order).rowsBetween(
         W.unboundedPreceding, -1 if exclusive else 0)
     done = joined.select("*", *[

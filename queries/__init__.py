@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("panel", "window_queries")
+MODULES = ("panel", "window_queries", "outcomes")
 
 
 def _load():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import bars, reports, risk, universe, windows
 from pitpanel.params import DAY
 from queries.base import (COARSE, CONTEXT, CURVE, NATION_LINES, P, SERIES, SIGNALS, U, _prior,
-                          _trail, coarse, curve, nation_lines, query, r6, series, signals)
+                          _trail, coarse, curve, daily_cte, nation_lines, query, r6)
 
 KEY = ["entity", "boundary"]
 
@@ -60,17 +60,7 @@ def _(spark, sf):
     return windows.signed_run(b).select(*KEY, "run")
 
 
-DAILY = NATION_LINES + f""", cal AS (SELECT entity, ts // {DAY} AS day,
-  count(quote_volume) AS bars_present,
-  CASE WHEN count(quote_volume) >= 1 THEN sum(quote_volume) END AS qvol FROM nlines GROUP BY 1, 2),
-  spine AS (SELECT entity, unnest(generate_series(min(day), max(day) + 1)) AS day FROM cal
-  GROUP BY entity),
-  metrics AS (SELECT entity, day,
-  CASE WHEN count(qvol) OVER w >= {U.min_defined_days} THEN quantile_cont(qvol, 0.5) OVER w END
-  AS liq_median, sum(bars_present) OVER w / {float(U.trailing_days * U.bars_per_day)} AS completeness
-  FROM spine LEFT JOIN cal USING (entity, day)
-  WINDOW w AS (PARTITION BY entity ORDER BY day RANGE BETWEEN {U.trailing_days} PRECEDING
-  AND 1 PRECEDING))"""
+DAILY = f"{NATION_LINES}, {daily_cte('nlines', U)}"
 
 
 def daily_metrics(spark, sf):
@@ -114,10 +104,6 @@ def _(spark, sf):
                       mult(F.col("regime"), F.lit(-1)).alias("short_mult"))
 
 
-VALID_P = replace(U, span_window_ms=60 * DAY, span_fraction=0.9)
-FREEZE = 1_010_000_000_000 - 1_010_000_000_000 % DAY
-
-
 @query("pause_flags", f"""WITH {CURVE}, d AS (SELECT *, t // {7 * DAY} AS day FROM curve),
   x AS (SELECT arm, t, equity, first_value(equity) OVER (PARTITION BY arm, day ORDER BY t) AS start_equity,
   max(equity) OVER (PARTITION BY arm, day ORDER BY t) AS peak_today,
