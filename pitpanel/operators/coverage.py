@@ -44,7 +44,8 @@ def coverage_months(extent: DataFrame, step: int, sealed_from: int, freeze: int,
     months = F.sequence(F.trunc(F.timestamp_millis("first_bar").cast("date"), "month"),
                         F.trunc(F.timestamp_millis("last_bar").cast("date"), "month"),
                         F.expr("interval 1 month"))
-    spine = span.withColumn("month", F.date_format(F.explode(months), "yyyy-MM"))
+    spine = span.withColumn("_m", F.explode(months)).withColumn(
+        "month", F.date_format("_m", "yyyy-MM")).drop("_m")
     joined = spine.join(extent.select(by, "month", "n_rows"), [by, "month"], "left")
     lo = F.greatest(month_start_ms(F.col("month")), F.col("first_bar"))
     hi = F.least(month_start_ms(shift_month(F.col("month"), 1)), F.col("last_bar") + step,

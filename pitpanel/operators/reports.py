@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from pitpanel.functions.columns import month_of
 from pitpanel.params import DAY, DEFAULTS, Params
-from pitpanel.plans.ordered import exact_quantiles, previous, running, time_bucket, with_position
+from pitpanel.plans.ordered import (exact_quantiles, previous, running, time_bucket, with_position,
+                                    with_value_bucket)
 
 
 # ---------------------------------------------------------------- curves
@@ -86,10 +87,10 @@ def return_metrics(curve: DataFrame, by: list[str], t: str, equity: str,
 
 def tail_mean(df: DataFrame, by: list[str], value: str, parts: int = 20) -> DataFrame:
     """Mean of the lowest ``max(1, n div parts)`` values; duplicates collapse before ranking."""
-    from pitpanel.plans.ordered import value_bucket
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
-    cum = running(counts, by, [value], value_bucket(df, value), {"_cum": ("sum", F.col("_n"))})
+    cum = running(with_value_bucket(counts, value), by, [value], F.col("_vb"),
+                  {"_cum": ("sum", F.col("_n"))})
     k = F.greatest(F.lit(1), F.call_function("div", F.col("_all"), F.lit(parts).cast("bigint")))
     take = F.least(F.col("_n"), F.greatest(F.lit(0), k - (F.col("_cum") - F.col("_n"))))
     return (cum.join(total, by).groupBy(*by)
@@ -178,9 +179,9 @@ def design_effect(df: DataFrame, y: str, cluster: str) -> DataFrame:
                 F.sum(F.col("m") * F.col("v")).alias("ssw"),
                 F.sum(F.col("m") * F.col("m")).alias("mm"))
     k, n = F.col("k"), F.col("n")
-    msb = (F.col("s2") - F.col("s") * F.col("s") / n) / (k - 1)
-    msw = F.col("ssw") / (n - k)
-    m0 = (n - F.col("mm") / n) / (k - 1)
+    msb = F.try_divide(F.col("s2") - F.col("s") * F.col("s") / n, k - 1)
+    msw = F.try_divide(F.col("ssw"), n - k)
+    m0 = F.try_divide(n - F.col("mm") / n, k - 1)
     den = msb + (m0 - 1) * msw
     icc = F.when((k < 2) | (n <= k), F.lit(0.0)).when(den > 0, (msb - msw) / den).otherwise(F.lit(0.0))
     out = one.withColumn("icc", icc).withColumn("mean_cluster_size", n / k)

@@ -45,7 +45,7 @@ def size_limits(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     used = F.when(F.col("side") > 0, F.col("long_exposure")).otherwise(F.col("short_exposure"))
     cap = F.least(
         F.col("qty"),
-        F.lit(p.max_risk) * F.col("equity") / F.col("stop_distance"),
+        F.try_divide(F.lit(p.max_risk) * F.col("equity"), F.col("stop_distance")),
         F.greatest(zero, F.lit(p.max_gross) * F.col("equity") - F.col("gross_exposure"))
         / F.col("price"),
         F.greatest(zero, F.lit(p.max_directional) * F.col("equity") - used) / F.col("price"))
@@ -125,7 +125,7 @@ def _peel(df: DataFrame, by: list[str], order: list[str], size: str, cap: Column
                                     "s:double>>").alias("_adm"))
     for _ in range(max_n):
         used = F.aggregate("_adm", F.lit(0.0), lambda a, x: a + x["s"])
-        last = F.element_at(F.col("_adm.k"), -1)
+        last = F.try_element_at(F.col("_adm.k"), F.lit(-1))
         nxt = (df.join(taken, by).filter(
             (F.col(size) >= min_size) & (used + F.col(size) <= F.col("_cap"))
             & ((F.size("_adm") == 0) | (key > last)))

@@ -96,16 +96,17 @@ def previous(df: DataFrame, by: list[str], order: list[str], bucket: Column,
                    exclusive=True)
 
 
-def value_bucket(df: DataFrame, value: str, n: int = 64) -> Column:
-    """A bucket number that never decreases with ``value``.
+def with_value_bucket(df: DataFrame, value: str, n: int = 64) -> DataFrame:
+    """Add ``_vb``, a bucket number that never decreases with ``value``.
 
     The cut points are approximate quantiles (one partial aggregate, an uncorrelated scalar
     subquery of at most ``n`` numbers); their quality affects balance, never results.
     """
     marks = [i / n for i in range(1, n)]
-    cuts = df.select(F.percentile_approx(value, marks, 1000)).scalar()
-    return F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")),
-                           lambda c: c < F.col(value)))
+    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), marks, 1000)).scalar()
+    below = F.filter(F.coalesce("_cuts", F.array().cast("array<double>")),
+                     lambda c: c < F.col(value))
+    return df.withColumn("_cuts", cuts).withColumn("_vb", F.size(below)).drop("_cuts")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
@@ -119,7 +120,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     by = by or []
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
               .agg(F.count(F.lit(1)).alias("_n")))
-    cum = running(counts, by, [value], value_bucket(df, value), {"_cum": ("sum", F.col("_n"))})
+    cum = running(with_value_bucket(counts, value), by, [value], F.col("_vb"),
+                  {"_cum": ("sum", F.col("_n"))})
     prob = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     if by:
         totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
@@ -145,7 +147,8 @@ def mid_ranks(df: DataFrame, value: str, by: list[str] | None = None,
     by = by or []
     w = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*by, value).agg(w.alias("n"))
-    cum = running(counts, by, [value], value_bucket(df, value), {"_cum": ("sum", F.col("n"))})
+    cum = running(with_value_bucket(counts, value), by, [value], F.col("_vb"),
+                  {"_cum": ("sum", F.col("n"))})
     return cum.select(*by, value, "n",
                       (F.col("_cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
 

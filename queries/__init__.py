@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("panel", "window_queries", "outcomes")
+MODULES = ("panel", "window_queries", "outcomes", "source_queries", "ledger_queries")
 
 
 def _load():
