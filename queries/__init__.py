@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ("panel", "window_queries", "outcomes", "source_queries", "ledger_queries")
+MODULES = ("panel", "window_queries", "outcomes", "source_queries", "ledger_queries",
+           "inference_queries", "model_queries")
 
 
 def _load():

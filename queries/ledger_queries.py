@@ -27,7 +27,7 @@ LEDGER = f"""ln AS (SELECT l.*, o_orderstatus, o_orderpriority, epoch_us(o_order
   ev AS (SELECT kind, t, l_orderkey AS pos_id, l_orderkey AS symbol, o_orderpriority AS arm, l_quantity AS qty,
   l_extendedprice / l_quantity AS price, l_tax * l_extendedprice / 100 AS fee,
   CASE WHEN kind = 'fill_close' THEN (l_discount - 0.05) * l_extendedprice END AS pnl,
-  CASE WHEN kind = 'rate' THEN round((l_discount - 0.05) * l_extendedprice / 10, 4) END AS paid,
+  CASE WHEN kind = 'rate' THEN (l_discount - 0.05) * l_extendedprice / 10 END AS paid,
   NULL AS reason, CASE WHEN kind = 'fill_open' THEN dt END AS decision_ts FROM kinds WHERE kind <> 'skipped'
   UNION ALL SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'entry_cancelled' ELSE 'rejection' END,
   epoch_us(o_orderdate) // 1000, NULL, o_orderkey, o_orderpriority, NULL, NULL, NULL, NULL, NULL,
@@ -59,7 +59,7 @@ def events_of(spark, sf):
         F.col("o_orderpriority").alias("arm"), F.col("l_quantity").alias("qty"),
         (ext / F.col("l_quantity")).alias("price"), (F.col("l_tax") * ext / 100).alias("fee"),
         F.when(k == "fill_close", move).alias("pnl"),
-        F.when(k == "rate", F.round(move / 10, 4)).alias("paid"),
+        F.when(k == "rate", move / 10).alias("paid"),
         F.lit(None).cast("string").alias("reason"), F.when(k == "fill_open", F.col("dt")).alias("decision_ts"))
     m = F.create_map(*[F.lit(v) for kv in REASONS.items() for v in kv])
     refused = o.filter("o_orderstatus = 'P'").select(
@@ -187,12 +187,12 @@ def _(spark, sf):
   SELECT CASE WHEN grouping(symbol) = 0 THEN 'symbol' WHEN grouping(side) = 0 THEN 'side'
   WHEN grouping(sign) = 0 THEN 'sign' WHEN grouping(month) = 0 THEN 'month' ELSE 'total' END AS level,
   coalesce(symbol::VARCHAR, side, sign, month) AS key, count(*) FILTER (kind = 'rate') AS applied,
-  count(*) FILTER (kind <> 'rate') AS missing, round(coalesce(sum(paid), 0), 5) AS paid FROM r
+  count(*) FILTER (kind <> 'rate') AS missing, round(coalesce(sum(paid), 0), 7) AS paid FROM r
   GROUP BY GROUPING SETS ((symbol), (side), (sign), (month), ())""")
 def _(spark, sf):
     ev = events_of(spark, sf).withColumn("symbol", F.col("symbol").cast("string"))
     pos = cands_of(spark, sf).select(F.col("symbol").alias("pos_id"), "side")
-    return reports.rate_reconcile(ev, pos).select("level", "key", "applied", "missing", r6("paid", "paid", 5))
+    return reports.rate_reconcile(ev, pos).select("level", "key", "applied", "missing", r6("paid", "paid", 7))
 
 
 @query("rate_identity", f"""WITH {LEDGER} SELECT round(sum(paid), 3) AS position_sum, round(sum(paid), 3) AS event_sum,
