@@ -19,11 +19,14 @@ def queued_exits(cands: DataFrame, signals: DataFrame, rounds: DataFrame,
     """Boundary and reason of the first queued (trailing or time) exit of each candidate.
 
     The next trailing boundary of either side is a backward window over an entity's bars; the
-    time exit is the first valid boundary at or after the holding limit.
+    time exit is the first valid boundary at or after the holding limit, looked up in the round
+    grid (one row per boundary, so its window is bounded by the calendar).
     """
-    valid = rounds.filter("valid").select("boundary")
+    ahead = W.partitionBy(F.lit(0)).orderBy("boundary").rowsBetween(0, W.unboundedFollowing)
+    grid = rounds.select("boundary", "valid", F.first(
+        F.when(F.col("valid"), F.col("boundary")), ignorenulls=True).over(ahead).alias("_time"))
     after = W.partitionBy("entity").orderBy("boundary").rowsBetween(1, W.unboundedFollowing)
-    flagged = signals.join(valid.withColumn("_v", F.lit(True)), "boundary", "left")
+    flagged = signals.join(grid.select("boundary", F.col("valid").alias("_v")), "boundary", "left")
     ok = F.col("_v") & F.col("ll_exit").isNotNull() & F.col("hh_exit").isNotNull()
 
     def nxt(cond):
@@ -32,20 +35,14 @@ def queued_exits(cands: DataFrame, signals: DataFrame, rounds: DataFrame,
         "entity", F.col("boundary").alias("t"),
         nxt(F.col("close") < F.col("ll_exit")).alias("_long"),
         nxt(F.col("close") > F.col("hh_exit")).alias("_short"))
-    joined = (cands.join(trail, ID, "left")
-              .withColumn("_trail", F.when(F.col("side") > 0, F.col("_long"))
-                          .otherwise(F.col("_short")))
-              .withColumn("_due", F.col("t") + p.max_hold * p.coarse_ms)
-              .drop("_long", "_short"))
-    due = joined.select("_due").distinct()
-    times = asof_join(due, valid.withColumn("_time", F.col("boundary")), [], "_due", "boundary",
-                      ["_time"], inclusive=True, direction="forward")
-    joined = joined.join(times, "_due", "left")
-    trailing = F.col("_trail").isNotNull() & (
-        F.col("_time").isNull() | (F.col("_trail") <= F.col("_time")))
-    return joined.withColumn("queue_t", F.least("_trail", "_time")).withColumn(
-        "queue_reason", F.when(trailing, "trailing_exit")
-        .when(F.col("_time").isNotNull(), "time_exit")).drop("_trail", "_time", "_due")
+    x = (cands.join(trail, ID, "left")
+         .withColumn("_due", F.col("t") + p.max_hold * p.coarse_ms)
+         .join(grid.select(F.col("boundary").alias("_due"), "_time"), "_due", "left"))
+    hit = F.when(F.col("side") > 0, F.col("_long")).otherwise(F.col("_short"))
+    trailing = hit.isNotNull() & (F.col("_time").isNull() | (hit <= F.col("_time")))
+    return x.select(*cands.columns, F.least(hit, F.col("_time")).alias("queue_t"),
+                    F.when(trailing, "trailing_exit").when(F.col("_time").isNotNull(), "time_exit")
+                    .alias("queue_reason"))
 
 
 def first_touch(cands: DataFrame, bars: DataFrame, signals: DataFrame, rounds: DataFrame,
@@ -66,8 +63,10 @@ def first_touch(cands: DataFrame, bars: DataFrame, signals: DataFrame, rounds: D
                .withColumn("stop", F.col("entry_fill") - F.col("side") * F.col("r_dist"))
                .withColumn("target", F.col("entry_fill")
                            + F.col("side") * F.lit(p.target_mult) * F.col("r_dist")).drop("_o"))
-    next_bar = bars.select("entity", "ts", F.col("ts").alias("fill_t"), F.col("open").alias("fill_open"))
-    filled = asof_join(entered, next_bar, ["entity"], "queue_t", "ts", ["fill_t", "fill_open"],
+    # exits queue on the coarse grid: the first bar of each window is all the lookup needs
+    first_bars = bars.groupBy("entity", floor_to("ts", p.coarse_ms).alias("_win")).agg(
+        F.min("ts").alias("fill_t"), F.min_by("open", "ts").alias("fill_open"))
+    filled = asof_join(entered, first_bars, ["entity"], "queue_t", "_win", ["fill_t", "fill_open"],
                        inclusive=True, direction="forward", bucket_ms=30 * DAY)
     last = bars.groupBy("entity").agg(F.max("ts").alias("_last"))
     held = (filled.join(last, "entity", "left").filter(F.col("entry_fill").isNotNull())

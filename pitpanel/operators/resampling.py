@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pitpanel.functions.columns import div, draw, normal_cdf
 from pitpanel.operators.reports import downside, sortino_of
 from pitpanel.params import DAY, DEFAULTS, Params
-from pitpanel.plans.ordered import mid_ranks, time_bucket, with_position
+from pitpanel.plans.ordered import mid_ranks, running, time_bucket, with_position, with_value_bucket
 
 
 def replicates(n: int) -> Column:
@@ -32,8 +32,8 @@ def rank_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
     w = F.col(weight) if weight else F.lit(1)
     cells = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, score).agg(
         F.sum(w).alias("_n"), F.sum(F.when(F.col(y) > 0, w).otherwise(F.lit(0))).alias("_p"))
-    ranks = mid_ranks(cells, score, by, "_n").select(*by, score, "rank")
-    j = cells.join(ranks, by + [score])
+    j = running(with_value_bucket(cells, score), by, [score], F.col("_vb"), {"_cum": ("sum", F.col("_n"))})
+    j = j.withColumn("rank", F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0)
     agg = [F.sum(F.col("_p") * F.col("rank")).alias("_r"), F.sum("_p").alias("n_pos"),
            F.sum(F.col("_n") - F.col("_p")).alias("n_neg")]
     out = j.groupBy(*by).agg(*agg) if by else j.agg(*agg)
@@ -71,7 +71,6 @@ def time_blocks(df: DataFrame, t: str, anchor: Column, length: int = DEFAULTS.bl
 def eligible_offsets(df: DataFrame, t: str, length: int = DEFAULTS.block_ms) -> DataFrame:
     """Boundaries displaced from the first one by at least a block and at most span minus a
     block, with the number of rows before them: ``(j, boundary, shift)``."""
-    from pitpanel.plans.ordered import running
     per = df.groupBy(t).agg(F.count(F.lit(1)).alias("_n"))
     per = per.withColumn("_a", per.select(F.min(t)).scalar()).withColumn("_b", per.select(F.max(t)).scalar())
     seq = running(per, [], [t], time_bucket(t, 90 * DAY),

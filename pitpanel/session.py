@@ -8,17 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SESSION = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def ensure_utc(spark: SparkSession) -> SparkSession:
-    """Epoch conversions of zone-less timestamps need a UTC session."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Epoch conversions of zone-less timestamps need a UTC session.
+
+    Call-site capture of every column expression is switched off as well: it costs more than
+    planning itself on wide plans and changes no result.
+    """
+    for key, value in SESSION.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
 def build_session(app: str = "pitpanel", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution; ``master`` is left to spark-submit when None."""
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **SESSION,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

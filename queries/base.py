@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 # events as a panel: 1 h fine bars, 4 h coarse bars, shorter lookbacks than the defaults
 P: Params = replace(
     DEFAULTS, fine_ms=HOUR, coarse_ms=4 * HOUR, bars_per_coarse=4, bars_per_day=24,
-    channel_entry=6, channel_exit=3, atr_n=5, return_lags=(1, 5, 10, 20), vol_short=5,
+    channel_entry=2, channel_exit=2, atr_n=5, return_lags=(1, 5, 10, 20), vol_short=5,
     vol_long=10, sma_fast=6, sma_slow=18, vol_history=60, max_hold=12)
 # lineitem as a daily panel: entity is the supplier's nation
 U: Params = replace(
@@ -238,17 +238,17 @@ class Panel:
     @cached_property
     def elig(self):
         metrics = universe.trailing_daily(bars.daily_calendar(self.fine, p=self.p), self.p)
-        return universe.eligibility(metrics, bars.extent(self.fine), JAN, FEB, self.p)
+        return materialize(universe.eligibility(metrics, bars.extent(self.fine), JAN, FEB, self.p))
 
     @cached_property
     def universe(self):
-        return materialize(universe.universe_top_n(self.elig, self.p.top_n))
+        return universe.universe_top_n(self.elig, self.p.top_n)
 
     @cached_property
     def rounds(self):
         grid = universe.boundary_grid(self.spark, JAN, FEB, self.p.coarse_ms)
         slots = bars.slot_counts(self.fine.filter(F.col("entity") == self.ctx), p=self.p)
-        return materialize(universe.round_validity(grid, self.elig, slots, self.p))
+        return universe.round_validity(grid, self.elig, slots, self.p)
 
     @cached_property
     def cands(self):
