@@ -64,17 +64,18 @@ def scan_rates(spark: SparkSession, path: str, start: int, end: int, ts: str = "
 
 def read_bar_csv(spark: SparkSession, path, step: int = DEFAULTS.fine_ms) -> DataFrame:
     """Delimited bars with or without a header line; wrong width or an off-grid time fails."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*BAR_CSV_COLUMNS, "_bad"]])
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_bad").csv(path))
-    rows = raw.filter((F.col("open_time") != "open_time") | F.col("_bad").isNotNull())
+    cells = F.split(F.trim("value"), ",")
+    lines = (spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").startswith(BAR_CSV_COLUMNS[0]))
+             .select(cells.alias("c")))
+    width = F.size("c") == len(BAR_CSV_COLUMNS)
+    rows = lines.select(F.when(width, F.col("c")).otherwise(
+        F.raise_error(F.lit("unexpected bar column count")).cast("array<string>")).alias("c"))
+    named = rows.select(*[F.col("c")[i].alias(n) for i, n in enumerate(BAR_CSV_COLUMNS)])
     t = normalize_epoch(F.col("open_time"))
-    checked = (F.when(F.col("_bad").isNotNull(), F.raise_error(F.lit("unexpected bar column count")))
-               .when(~on_grid(t, step), F.raise_error(F.lit("open_time off the grid")))
-               .otherwise(F.lit(None)))
+    stray = F.when(~on_grid(t, step), F.raise_error(F.lit("open_time off the grid")))
     doubles = ["open", "high", "low", "close", "volume", "quote_volume"]
-    return rows.select(F.coalesce(checked.cast("bigint"), t).alias("ts"),
-                       *[F.col(c).cast("double").alias(c) for c in doubles])
+    return named.select(F.coalesce(stray.cast("bigint"), t).alias("ts"),
+                        *[F.col(c).cast("double").alias(c) for c in doubles])
 
 
 def read_rate_csv(spark: SparkSession, path) -> DataFrame:
