@@ -93,10 +93,10 @@ def interval_overlap(df: DataFrame, grid: DataFrame, lo: str, hi: str, t: str,
     pairs = overlap_pairs(df, lo, hi, width_ms)
     conc = concurrency(df, grid, lo, hi, t, width_ms).agg(
         F.avg("open_n").alias("m"), F.max("open_n").alias("x"))
-    total = (F.col("n") * (F.col("n") - 1)).cast("double") / 2
+    total = F.col("n").cast("double") * (F.col("n") - 1) / 2
     return pairs.select(
         F.col("n").alias("n_labels"), "pairs",
-        F.when(F.col("n") > 1, F.col("pairs") / total).otherwise(F.lit(0.0)).alias("pair_fraction"),
+        F.when(F.col("n") > 1, F.col("pairs").cast("double") / total).otherwise(F.lit(0.0)).alias("pair_fraction"),
         conc.select("m").scalar().alias("mean_concurrent"),
         conc.select("x").scalar().alias("max_concurrent"))
 

@@ -171,7 +171,7 @@ def design_effect(df: DataFrame, y: str, cluster: str) -> DataFrame:
     Two levels of partial sums; the between sum of squares uses the cluster means, the within
     sum is the total minus the between part.
     """
-    g = df.groupBy(cluster).agg(F.count(y).alias("m"), F.avg(y).alias("mu"),
+    g = df.groupBy(cluster).agg(F.count(y).cast("double").alias("m"), F.avg(y).alias("mu"),
                                 F.var_pop(y).alias("v"))
     one = g.agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"),
                 F.sum(F.col("m") * F.col("mu")).alias("s"),
@@ -201,13 +201,15 @@ def group_sizes(df: DataFrame, t: str) -> DataFrame:
 def seed_summary(df: DataFrame, seed: str, value: str, baseline: float) -> DataFrame:
     """One row over per-seed results (one row per seed)."""
     x = F.col(value)
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75]).agg(
+        F.map_from_entries(F.collect_list(F.struct("prob", "quantile")))).scalar()
     return df.agg(
-        F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"),
-        (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias("iqr"),
-        F.var_samp(x).alias("variance"),
+        F.avg(x).alias("mean"), F.var_samp(x).alias("variance"),
         F.max_by(seed, x).alias("best_seed"), F.min_by(seed, x).alias("worst_seed"),
         F.count_if(x > baseline).alias("wins"),
-        (F.lit(100.0) * F.count_if(x > baseline) / F.count(F.lit(1))).alias("win_pct"))
+        (F.lit(100.0) * F.count_if(x > baseline) / F.count(F.lit(1))).alias("win_pct")) \
+        .withColumn("_q", q).withColumns({"median": F.col("_q")[F.lit(0.5)],
+                                          "iqr": F.col("_q")[F.lit(0.75)] - F.col("_q")[F.lit(0.25)]}).drop("_q")
 
 
 def seed_delta(new: DataFrame, old: DataFrame, seed: str, value: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pitpanel.functions.columns import div, draw, normal_cdf
 from pitpanel.operators.reports import downside, sortino_of
 from pitpanel.params import DAY, DEFAULTS, Params
-from pitpanel.plans.ordered import mid_ranks, running, time_bucket, with_position, with_value_bucket
+from pitpanel.plans.ordered import (mid_ranks, running, time_bucket, with_position,
+                                    with_time_key_bucket, with_value_bucket)
 
 
 def replicates(n: int) -> Column:
@@ -23,7 +24,7 @@ def replicates(n: int) -> Column:
 
 # ---------------------------------------------------------------- rank statistics
 def rank_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
-             weight: str | None = None) -> DataFrame:
+             weight: str | None = None, cuts_from: DataFrame | None = None) -> DataFrame:
     """Area under the ROC curve with mid-ranks; NULL with a single class.
 
     Rows collapse to distinct scores with class counts before they are ranked.
@@ -32,18 +33,18 @@ def rank_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
     w = F.col(weight) if weight else F.lit(1)
     cells = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, score).agg(
         F.sum(w).alias("_n"), F.sum(F.when(F.col(y) > 0, w).otherwise(F.lit(0))).alias("_p"))
-    j = running(with_value_bucket(cells, score), by, [score], F.col("_vb"), {"_cum": ("sum", F.col("_n"))})
+    j = running(with_value_bucket(cells, score, cuts_from=cuts_from), by, [score], F.col("_vb"), {"_cum": ("sum", F.col("_n"))})
     j = j.withColumn("rank", F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0)
     agg = [F.sum(F.col("_p") * F.col("rank")).alias("_r"), F.sum("_p").alias("n_pos"),
            F.sum(F.col("_n") - F.col("_p")).alias("n_neg")]
     out = j.groupBy(*by).agg(*agg) if by else j.agg(*agg)
-    p, n = F.col("n_pos"), F.col("n_neg")
-    return out.select(*by, F.try_divide(F.col("_r") - p * (p + 1) / 2.0, (p * n).cast("double"))
+    p, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    return out.select(*by, F.try_divide(F.col("_r") - p * (p + 1) / 2.0, p * n)
                       .alias("auc"))
 
 
 def rank_ic(df: DataFrame, a: str, b: str, by: list[str] | None = None,
-            weight: str | None = None) -> DataFrame:
+            weight: str | None = None, cuts_from: DataFrame | None = None) -> DataFrame:
     """Spearman correlation with mid-ranks, 0 when a side is constant; equal pairs collapse
     first."""
     by = by or []
@@ -51,7 +52,7 @@ def rank_ic(df: DataFrame, a: str, b: str, by: list[str] | None = None,
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(w.alias("_n"))
     j = cells
     for c, r in ((a, "_ra"), (b, "_rb")):
-        ranks = mid_ranks(cells, c, by, "_n").select(*by, c, F.col("rank").alias(r))
+        ranks = mid_ranks(cells, c, by, "_n", cuts_from).select(*by, c, F.col("rank").alias(r))
         j = j.join(ranks, by + [c])
     n, x, z = F.col("_n"), F.col("_ra"), F.col("_rb")
     aggs = [F.sum(n).alias("n"), F.sum(n * x).alias("sx"), F.sum(n * z).alias("sz"),
@@ -108,10 +109,32 @@ def rotate_labels(df: DataFrame, order: list[str], t: str, y: str, offsets: Data
     return spread.join(labels, "_src").select("rep", *keep, y)
 
 
+def rotation_null(df: DataFrame, order: list[str], t: str, y: str, prob: str, score: str,
+                  offsets: DataFrame, bucket: Column) -> DataFrame:
+    """AUC of ``prob`` and rank correlation of ``score`` under every rotation: ``(rep, auc, ic)``.
+
+    A rotation keeps all three multisets, so ranks are taken once on the original rows and the
+    rotated label carries its own rank: no replicate is ever ranked again.
+    """
+    ranked = df
+    for c, r in dict.fromkeys(((prob, "_rp"), (score, "_rs"), (y, "_ry"))):
+        ranked = ranked.join(mid_ranks(df, c).select(c, F.col("rank").alias(r)), c)
+    label = F.struct((F.col(y) > 0).cast("int").alias("pos"), F.col("_ry").alias("ry"))
+    x = rotate_labels(ranked.withColumn("_lab", label), order, t, "_lab",
+                      offsets, bucket, ["_rp", "_rs"])
+    pos = F.col("_lab.pos")
+    s = x.groupBy("rep").agg(F.sum(pos).alias("p"), F.count(F.lit(1)).alias("n"),
+                             F.sum(pos * F.col("_rp")).alias("r"), F.corr("_rs", "_lab.ry").alias("c"))
+    p = F.col("p").cast("double")
+    n = F.col("n") - p
+    return s.select("rep", F.try_divide(F.col("r") - p * (p + 1) / 2.0, p * n).alias("auc"),
+                    F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)).alias("ic"))
+
+
 def block_permute(df: DataFrame, order: list[str], t: str, y: str, reps: int, seed: int,
                   keep: list[str], length: int = DEFAULTS.block_ms) -> DataFrame:
     """Superseded variant: shuffled time blocks laid onto the original boundary slots, with
-    ``r mod len`` inside a slot (may duplicate or drop values)."""
+    ``r mod len`` inside a slot (may duplicate or drop values). ``order`` starts with a number."""
     bounds = df.groupBy(t).agg(F.count(F.lit(1)).alias("_len"))
     anchor = bounds.select(F.min(t)).scalar()
     b = bounds.withColumn("_a", anchor).withColumn("_blk", div(F.col(t) - F.col("_a"), length))
@@ -121,8 +144,7 @@ def block_permute(df: DataFrame, order: list[str], t: str, y: str, reps: int, se
     w = W.partitionBy("rep").orderBy(draw(seed, "rep", "_blk"), "_blk", "_src_t")
     seq = rep.withColumn("_slot", F.row_number().over(w).cast("bigint") - 1)
     slots = b.select("_slot", F.col(t))
-    inside = W.partitionBy(t).orderBy(*order)
-    ranked = df.withColumn("_r", F.row_number().over(inside) - 1)
+    ranked = with_position(with_value_bucket(df, order[0]), [t], order, F.col("_vb"), "_r").drop("_vb")
     target = (ranked.select(t, "_r", *keep).join(slots, t).join(seq.select("rep", "_slot", "_src_t", "_len"), "_slot")
               .withColumn("_m", F.pmod(F.col("_r"), F.col("_len"))))
     src = ranked.select(F.col(t).alias("_src_t"), F.col("_r").alias("_m"), F.col(y).alias(y))
@@ -135,7 +157,7 @@ def shuffle_permute(df: DataFrame, order: list[str], y: str, reps: int, seed: in
     row position; positions are found in hash buckets, never in one window per replicate."""
     placed = with_position(df, [], order, bucket, "_i")
     drawn = placed.select("_i", replicates(reps).alias("rep")).withColumn("_h", draw(seed, "rep", "_i"))
-    perm = with_position(drawn, ["rep"], ["_h", "_i"], F.shiftright("_h", 23), "_src")
+    perm = with_position(drawn, ["rep"], ["_h", "_i"], F.shiftright("_h", 16), "_src")
     labels = placed.select(F.col("_i").alias("_src"), F.col(y).alias(y))
     return (placed.select("_i", *keep).join(perm.select("rep", "_i", "_src"), "_i")
             .join(labels, "_src").select("rep", *keep, y))
@@ -265,7 +287,9 @@ def learnability(df: DataFrame, t: str, key: str, y: str, prob: str, score: str,
     from pitpanel.session import materialize
     base = materialize(df.select(t, key, y, prob, score))
     offs = materialize(rotation_offsets(base, t, reps, seed, p.block_ms))
-    rot = materialize(rotate_labels(base, [t, key], t, y, offs, time_bucket(t, 30 * DAY), [t, key, prob, score]))
+    keyed = with_time_key_bucket(base, t, key)
+    null_stats = materialize(rotation_null(keyed, [t, key], t, y, prob, score, offs,
+                                           F.col("_tk")))
     bounds = with_position(base.select(t).distinct(), [], [t], time_bucket(t, 90 * DAY), "idx")
     one = base.agg(F.count_distinct(t).alias("u"), F.min(t).alias("a"), F.max(t).alias("b"))
     span = F.greatest((F.col("b") - F.col("a")) / DAY, F.lit(float(p.block_ms // DAY)))
@@ -274,15 +298,14 @@ def learnability(df: DataFrame, t: str, key: str, y: str, prob: str, score: str,
     weights = draws.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
     boot = materialize(weights.join(bounds, "idx").join(base, t).select("rep", y, prob, score, "w"))
     auc0, ic0 = rank_auc(base, y, prob), rank_ic(base, y, score)
-    n_auc, n_ic = materialize(rank_auc(rot, y, prob, ["rep"])), materialize(rank_ic(rot, y, score, ["rep"]))
-    b_auc = materialize(rank_auc(boot, y, prob, ["rep"], "w"))
-    b_ic = materialize(rank_ic(boot, y, score, ["rep"], "w"))
+    b_auc = materialize(rank_auc(boot, y, prob, ["rep"], "w", base))
+    b_ic = materialize(rank_ic(boot, y, score, ["rep"], "w", base))
     obs = materialize(auc0.withColumn("ic", ic0.select("ic").scalar()))
     ci = {"auc": bootstrap_ci(b_auc, ["auc"]), "ic": bootstrap_ci(b_ic, ["ic"])}
     out = one.withColumnRenamed("u", "n_boundaries").drop("a", "b") \
         .withColumn("n_offsets", offs.select(F.count(F.lit(1))).scalar()) \
         .withColumn("auc", obs.select("auc").scalar()).withColumn("ic", obs.select("ic").scalar())
-    for stat, null, center, effect in (("auc", n_auc, 0.5, effects[0]), ("ic", n_ic, 0.0, effects[1])):
+    for stat, null, center, effect in (("auc", null_stats, 0.5, effects[0]), ("ic", null_stats, 0.0, effects[1])):
         obs_col = null.withColumn("_obs", obs.select(stat).scalar())
         pv = two_sided_p(obs_col, stat, F.col("_obs"), center).select("p_upper").scalar()
         pw = approx_power(null, stat, center, ci[stat].select("se").scalar(), effect).select("power").scalar()

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from pitpanel.functions.columns import div
 from pitpanel.params import DAY, DEFAULTS, Params
-from pitpanel.plans.ordered import with_position
+from pitpanel.plans.ordered import with_position, with_time_key_bucket
 
 
 def pause_flags(df: DataFrame, by: list[str], t: str, equity: str, p: Params = DEFAULTS,
@@ -82,12 +82,16 @@ def risk_action_filter(df: DataFrame, action: str, emergency: str) -> DataFrame:
 def stage_funnel(df: DataFrame, top_k: int) -> DataFrame:
     """First stage that stops a candidate. Needs ``t, entity, is_open, accepted, score, bucket,
     regime_mult``; the rank counts only candidates without an open position."""
-    w = W.partitionBy("t", "is_open").orderBy(F.desc("score"), "entity")
+    # only the best k are ranked (cut before the shuffle); the rest of a busy round stays spread
+    w = W.partitionBy("t").orderBy(F.desc("score"), "entity")
+    best = (df.filter(~F.col("is_open")).select("t", "entity", "score")
+            .withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= top_k)
+            .select("t", "entity", "_rank"))
     mult = F.least("bucket", "regime_mult")
-    ranked = df.withColumn("_rank", F.row_number().over(w))
+    ranked = df.join(best, ["t", "entity"], "left")
     stage = (F.when(F.col("is_open"), "already_open")
              .when(~F.col("accepted"), "filter_rejected")
-             .when(F.col("_rank") > top_k, "rank_cut")
+             .when(F.col("_rank").isNull(), "rank_cut")
              .when(mult <= 0, "regime_blocked").otherwise("submitted"))
     return (ranked.withColumn("stage", stage)
             .withColumn("multiplier", F.when(F.col("stage") == "submitted", mult)).drop("_rank"))
@@ -149,5 +153,6 @@ def greedy_admit(df: DataFrame, by: list[str], order: list[str], size: str, cap:
     return (_peel if big else _fold)(df, by, order, size, cap, max_n, min_size)
 
 
-def stable_order(df: DataFrame, keys: list[str], bucket: Column, out: str = "seq") -> DataFrame:
-    return with_position(df, [], keys, bucket, out)
+def stable_order(df: DataFrame, t: str, key: str, out: str = "seq") -> DataFrame:
+    """Position of every row in the order ``(t, key)``, ``key`` a unique number within ``t``."""
+    return with_position(with_time_key_bucket(df, t, key), [], [t, key], F.col("_tk"), out).drop("_tk")

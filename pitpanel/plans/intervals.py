@@ -39,10 +39,11 @@ def overlap_pairs(df: DataFrame, lo: str, hi: str, width_ms: int) -> DataFrame:
     swept = running(per_time, [], ["x"], time_bucket("x", width_ms),
                     {"ended": ("sum", F.col("e"))}, exclusive=True)
     return (swept.agg(F.sum("s").alias("n"),
-                      F.coalesce(F.sum(F.col("s") * F.coalesce("ended", F.lit(0))),
+                      F.coalesce(F.sum(F.col("s").cast("decimal(14,0)")
+                                       * F.coalesce("ended", F.lit(0)).cast("decimal(14,0)")),
                                  F.lit(0)).alias("disjoint"))
-            .select("n", ((F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)") / 2
-                          - F.col("disjoint")).cast("bigint").alias("pairs")))
+            .select("n", (F.col("n").cast("decimal(18,0)") * (F.col("n") - 1).cast("decimal(18,0)") / 2
+                          - F.col("disjoint")).cast("decimal(38,0)").alias("pairs")))
 
 
 def concurrency(df: DataFrame, grid: DataFrame, lo: str, hi: str, t: str,

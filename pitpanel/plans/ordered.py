@@ -96,17 +96,38 @@ def previous(df: DataFrame, by: list[str], order: list[str], bucket: Column,
                    exclusive=True)
 
 
-def with_value_bucket(df: DataFrame, value: str, n: int = 64) -> DataFrame:
+def with_value_bucket(df: DataFrame, value: str, n: int = 256,
+                      cuts_from: DataFrame | None = None) -> DataFrame:
     """Add ``_vb``, a bucket number that never decreases with ``value``.
 
     The cut points are approximate quantiles (one partial aggregate, an uncorrelated scalar
-    subquery of at most ``n`` numbers); their quality affects balance, never results.
+    subquery of at most ``n`` numbers); their quality affects balance, never results. A row is
+    placed in two steps of about ``sqrt(n)`` comparisons. ``cuts_from`` may name a cheaper table
+    with the same value distribution (the rows before they were replicated, say).
     """
+    step = int(n ** 0.5)
     marks = [i / n for i in range(1, n)]
-    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), marks, 1000)).scalar()
-    below = F.filter(F.coalesce("_cuts", F.array().cast("array<double>")),
-                     lambda c: c < F.col(value))
-    return df.withColumn("_cuts", cuts).withColumn("_vb", F.size(below)).drop("_cuts")
+    source = df if cuts_from is None else cuts_from
+    every = source.select(F.coalesce(
+        F.percentile_approx(F.col(value).cast("double"), marks, 10_000),
+        F.array().cast("array<double>")).alias("every"))
+    tops = F.filter("every", lambda c, i: F.pmod(i + 1, F.lit(step)) == 0)
+    cuts = every.select(F.struct("every", tops.alias("tops"))).scalar()
+
+    def below(cuts_column):
+        return F.size(F.filter(cuts_column, lambda c: c < F.col(value)))
+    return (df.withColumn("_cuts", cuts).withColumn("_top", below(F.col("_cuts.tops")) * step)
+            .withColumn("_vb", F.col("_top") + below(F.slice("_cuts.every", F.col("_top") + 1, step)))
+            .drop("_cuts", "_top"))
+
+
+def with_time_key_bucket(df: DataFrame, t: str, key: str, n: int = 256) -> DataFrame:
+    """Add ``_tk``, a bucket that follows the order ``(t, key)`` for a numeric ``key``.
+
+    A time bucket alone leaves all rows of one busy time step in one task; here every step is
+    cut further by quantiles of the key.
+    """
+    return with_value_bucket(df, key, n).withColumn("_tk", F.struct(t, "_vb")).drop("_vb")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
@@ -142,13 +163,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
 
 
 def mid_ranks(df: DataFrame, value: str, by: list[str] | None = None,
-              weight: str | None = None) -> DataFrame:
+              weight: str | None = None, cuts_from: DataFrame | None = None) -> DataFrame:
     """Distinct values with multiplicity and average rank: ``(by, value, n, rank)``."""
     by = by or []
     w = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*by, value).agg(w.alias("n"))
-    cum = running(with_value_bucket(counts, value), by, [value], F.col("_vb"),
-                  {"_cum": ("sum", F.col("n"))})
+    cum = running(with_value_bucket(counts, value, cuts_from=cuts_from), by, [value],
+                  F.col("_vb"), {"_cum": ("sum", F.col("n"))})
     return cum.select(*by, value, "n",
                       (F.col("_cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
 

@@ -8,7 +8,7 @@ from pitpanel.functions.columns import epoch_ms
 from pitpanel.operators import resampling as rs
 from pitpanel.operators import selection
 from pitpanel.params import DAY
-from pitpanel.plans.ordered import time_bucket
+from pitpanel.plans.ordered import time_bucket, with_time_key_bucket
 from pitpanel.session import materialize
 from queries.base import query, r6, table
 from queries.ledger_queries import SCORES, scores
@@ -95,7 +95,8 @@ def _(spark, sf):
 def rotated(spark, sf):
     x = materialize(timed(spark, sf))
     offs = materialize(rs.rotation_offsets(x, "t", REPS, SEED))
-    return rs.rotate_labels(x, ["t", "doc_id"], "t", "y", offs, time_bucket("t", 60 * DAY), ["doc_id", "score"])
+    x = with_time_key_bucket(x, "t", "doc_id")
+    return rs.rotate_labels(x, ["t", "doc_id"], "t", "y", offs, F.col("_tk"), ["doc_id", "score"])
 
 
 @query("rotate_labels", f"WITH {SC}, {ROT} SELECT rep, doc_id, y FROM rot")
@@ -120,7 +121,8 @@ def _(spark, sf):
   SELECT rep, r.doc_id, l.y FROM h JOIN s r ON r.i = h.i JOIN s l ON l.i = h.src""")
 def _(spark, sf):
     x = materialize(timed(spark, sf))
-    return rs.shuffle_permute(x, ["t", "doc_id"], "y", 10, 11, time_bucket("t", 60 * DAY), ["doc_id"]) \
+    x = with_time_key_bucket(x, "t", "doc_id")
+    return rs.shuffle_permute(x, ["t", "doc_id"], "y", 10, 11, F.col("_tk"), ["doc_id"]) \
         .select("rep", "doc_id", "y")
 
 
@@ -230,19 +232,23 @@ NULLS = f"{SC}, {ROT}, na AS ({auc_sql('rot', 'rep')}), ni AS ({ic_sql('rot', 'r
     f"oa AS ({auc_sql('s')}), oi AS ({ic_sql('s')})"
 
 
+def nulls(spark, sf):
+    x = materialize(timed(spark, sf).withColumn("prob", F.col("score")))
+    offs = materialize(rs.rotation_offsets(x, "t", REPS, SEED))
+    return x, materialize(rs.rotation_null(x, ["t", "doc_id"], "t", "y", "prob", "score", offs,
+                                           time_bucket("t", 60 * DAY)))
+
+
 @query("two_sided_p", f"""WITH {NULLS}, x AS (SELECT 'auc' AS stat, abs(auc - 0.5) >= abs((SELECT auc FROM oa) - 0.5) AS hit
   FROM na UNION ALL SELECT 'ic', abs(ic) >= abs((SELECT ic FROM oi)) FROM ni) SELECT stat, count(*) FILTER (hit) AS count_ge,
   count(*) AS n, count(*) FILTER (hit) / count(*) AS p_raw, (count(*) FILTER (hit) + 1) / (count(*) + 1) AS p_upper
   FROM x GROUP BY 1""")
 def _(spark, sf):
-    x, rot = materialize(timed(spark, sf)), materialize(rotated(spark, sf))
+    x, null = nulls(spark, sf)
     out = None
-    for stat, null, obs, center in (
-            ("auc", rs.rank_auc(rot, "y", "score", ["rep"]), rs.rank_auc(x, "y", "score"), 0.5),
-            ("ic", rs.rank_ic(rot, "y", "score", ["rep"]), rs.rank_ic(x, "y", "score"), 0.0)):
-        o = materialize(obs)
-        null = null.withColumn("_obs", o.select(stat).scalar())
-        row = rs.two_sided_p(null, stat, F.col("_obs"), center).select(F.lit(stat).alias("stat"), "*")
+    for stat, obs, center in (("auc", rs.rank_auc(x, "y", "score"), 0.5), ("ic", rs.rank_ic(x, "y", "score"), 0.0)):
+        rows = null.withColumn("_obs", obs.select(stat).scalar())
+        row = rs.two_sided_p(rows, stat, F.col("_obs"), center).select(F.lit(stat).alias("stat"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -257,7 +263,7 @@ def _erf(x: str) -> str:
   SELECT round(critical, 9) AS critical, round(se, 9) AS se,
   round(1 - 0.5 * (1 + {_erf('((critical - 0.05) / se / sqrt(2.0))')}), 6) AS power FROM c""")
 def _(spark, sf):
-    null = materialize(rs.rank_ic(rotated(spark, sf), "y", "score", ["rep"]))
+    null = nulls(spark, sf)[1]
     se = null.select(F.stddev_pop("ic")).scalar()
     return rs.approx_power(null, "ic", 0.0, se, 0.05).select(
         r6("critical", "critical", 9), r6("se", "se", 9), r6("power", "power"))

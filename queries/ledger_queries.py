@@ -133,7 +133,7 @@ GRID0, GRID1 = 9200 * DAY, 11500 * DAY
   c AS (SELECT t, (SELECT count(*) FROM sp WHERE lo <= t AND hi >= t) AS k FROM g),
   q AS (SELECT count(*) AS n FROM sp), dj AS (SELECT sum(c1.n * e.n)::BIGINT AS d FROM
   (SELECT lo, count(*) AS n FROM sp GROUP BY 1) c1 JOIN (SELECT hi, count(*) AS n FROM sp GROUP BY 1) e ON e.hi < c1.lo)
-  SELECT n AS n_labels, (n * (n - 1) / 2 - d)::BIGINT AS pairs,
+  SELECT n AS n_labels, (n * (n - 1) / 2 - d)::DECIMAL(38,0) AS pairs,
   round((n * (n - 1) / 2 - d) / (n * (n - 1) / 2), 9) AS pair_fraction,
   (SELECT round(avg(k), 6) FROM c) AS mean_concurrent, (SELECT max(k) FROM c) AS max_concurrent FROM q, dj""")
 def _(spark, sf):
@@ -393,9 +393,10 @@ CONV = """r AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id O
 @query("convergence_flag", f"""WITH {CONV} SELECT run, n_rows, round(final_ma, 6) AS final_ma,
   round(tail_median, 6) AS tail_median, round(final_ma, 6) < round(tail_median, 6) AS non_converged FROM nn LEFT JOIN f USING (run)""")
 def _(spark, sf):
-    from pitpanel.plans.ordered import with_position
+    from pitpanel.plans.ordered import with_position, with_value_bucket
     e = table(spark, sf, "events").select(F.col("user_id").alias("run"), "event_id", F.col("value").alias("v"))
-    rows = materialize(with_position(e, ["run"], ["event_id"], F.floor(F.col("event_id") / 1000), "i"))
+    rows = with_position(with_value_bucket(e, "event_id"), ["run"], ["event_id"], F.col("_vb"), "i")
+    rows = materialize(rows.drop("_vb"))
     out = reports.convergence_flag(rows, ["run"], "i", "v", 20)
     return out.select("run", "n_rows", r6("final_ma", "final_ma"), r6("tail_median", "tail_median"),
                       (F.round("final_ma", 6) < F.round("tail_median", 6)).alias("non_converged"))

@@ -8,7 +8,7 @@ from pitpanel.functions.columns import (bucket_of, by_tier, clip_finite, entry_f
                                         exit_fill, floor_to, nan_to_null, normalize_epoch, on_grid, tier)
 from pitpanel.operators import bars, checks, coverage, risk, universe
 from pitpanel.params import DAY, HOUR
-from pitpanel.plans.ordered import exact_quantiles, time_bucket
+from pitpanel.plans.ordered import exact_quantiles, time_bucket, with_value_bucket
 from pitpanel.session import materialize, scratch_path
 from pitpanel.sources import manifests, panel
 from queries.base import (CURVE, EU, FEB, FINE, JAN, TICKS, Panel, curve, fine, query, r6, rates,
@@ -117,10 +117,9 @@ def _(spark, sf):
 DIGEST = """h AS (SELECT grp, sha256(concat_ws('|', coalesce(o_orderkey::VARCHAR, '~'),
   coalesce(o_custkey::VARCHAR, '~'), coalesce(o_orderstatus, '~'),
   coalesce(o_totalprice::DECIMAL(18,2)::VARCHAR, '~'))) AS h FROM src),
-  b AS (SELECT grp, substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n
-  FROM h GROUP BY 1, 2),
-  dg AS (SELECT grp, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS digest
-  FROM b GROUP BY 1)"""
+  dg AS (SELECT grp, count(*) AS n_rows, sha256(concat_ws('|', sum(('0x' || substr(h, 1, 15))::UBIGINT::HUGEINT),
+  sum(('0x' || substr(h, 16, 15))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 31, 15))::UBIGINT::HUGEINT),
+  sum(('0x' || substr(h, 46, 15))::UBIGINT::HUGEINT), count(*))) AS digest FROM h GROUP BY 1)"""
 
 
 def order_digest(df):
@@ -397,16 +396,13 @@ def _(spark, sf):
 
 
 @query("cost_tier", """WITH r AS (SELECT o_orderkey, o_totalprice AS ref, CASE o_orderstatus WHEN 'F' THEN 1
-  ELSE -1 END AS side, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_totalprice DESC, o_orderkey)
-  * 3 AS rank FROM orders), c AS (SELECT *, CASE WHEN rank <= 10 THEN 0.0001 ELSE 0.00025 END::DOUBLE AS hs,
+  ELSE -1 END AS side, substr(o_orderpriority, 1, 1)::INT * 4 AS rank FROM orders), c AS (SELECT *, CASE WHEN rank <= 10 THEN 0.0001 ELSE 0.00025 END::DOUBLE AS hs,
   CASE WHEN rank <= 10 THEN 0.00015 ELSE 0.00035 END::DOUBLE AS sl FROM r)
   SELECT o_orderkey, CASE WHEN rank <= 10 THEN 1 ELSE 2 END AS tier, hs AS half_spread,
   sl AS slippage, round(ref * (1 + side * (hs + sl)), 7) AS entry_fill,
   round(ref * (1 - side * (hs + sl * 2)), 7) AS stop_fill FROM c""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-    w = W.partitionBy("o_orderdate").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    o = table(spark, sf, "orders").withColumn("rank", F.row_number().over(w) * 3).withColumn(
+    o = table(spark, sf, "orders").withColumn("rank", F.substring("o_orderpriority", 1, 1).cast("int") * 4).withColumn(
         "side", F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1))
     return o.select(
         "o_orderkey", tier("rank").alias("tier"), by_tier("rank", EU.half_spread).alias("half_spread"),
@@ -555,7 +551,7 @@ def _(spark, sf):
   FROM orders""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", epoch_ms("o_orderdate").alias("t"))
-    return risk.stable_order(o, ["t", "o_orderkey"], time_bucket("t", 30 * DAY)).select("o_orderkey", "seq")
+    return risk.stable_order(o, "t", "o_orderkey").select("o_orderkey", "seq")
 
 
 # ---------------------------------------------------------------- integrity
@@ -585,8 +581,7 @@ def _(spark, sf):
     big = table(spark, sf, "events").select("user_id", "event_id", "value")
     c = materialize(chain(spark, sf)).join(big, ["user_id", "event_id"]).withColumn(
         "body", F.when(F.col("value") > 250, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    return manifests.verify_chain(c, ["user_id"], "event_id", "body",
-                                  F.call_function("div", F.col("event_id"), F.lit(1000).cast("bigint")))
+    return manifests.verify_chain(with_value_bucket(c, "event_id"), ["user_id"], "event_id", "body", F.col("_vb"))
 
 
 @query("partition_verify", f"""WITH {NATION_ROUNDS} SELECT boundary, 'valid' AS field,
