@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from pitpanel.functions.columns import month_of
 
 
-def month_extent(df: DataFrame, by: str = "entity", ts: str = "ts") -> DataFrame:
-    """Rows and time extent per entity and month; reads only the key and time columns."""
-    return (df.groupBy(by, month_of(ts).alias("month"))
+def month_extent(df: DataFrame, by: str = "entity", ts: str = "ts",
+                 distinct: bool = False) -> DataFrame:
+    """Rows (or, with ``distinct``, different times) and time extent per entity and month; reads
+    only the key and time columns."""
+    rows = df.select(by, ts).distinct() if distinct else df
+    return (rows.groupBy(by, month_of(ts).alias("month"))
             .agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first_ts"),
                  F.max(ts).alias("last_ts")))
 

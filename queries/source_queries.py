@@ -258,8 +258,8 @@ MONTHS = f"""ln AS (SELECT 'k' || l_suppkey || l_returnflag AS entity, epoch_us(
 def _months(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.concat(F.lit("k"), F.col("l_suppkey").cast("string"), "l_returnflag").alias("entity"),
-        epoch_ms("l_shipdate").alias("ts")).distinct()
-    return coverage.coverage_months(coverage.month_extent(li), DAY, SEALED, FREEZE_C, RECENT)
+        epoch_ms("l_shipdate").alias("ts"))
+    return coverage.coverage_months(coverage.month_extent(li, distinct=True), DAY, SEALED, FREEZE_C, RECENT)
 
 
 @query("coverage_months", f"""WITH {MONTHS} SELECT entity, month, n_rows, expected, completeness, status
