@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import (bucket_of, by_tier, clip_finite, entry_fill, epoch_ms, erf,
                                         exit_fill, floor_to, nan_to_null, normalize_epoch, on_grid, tier)
-from pitpanel.operators import bars, checks, coverage, risk, universe
+from pitpanel.operators import bars, checks, coverage, risk, universe, windows
 from pitpanel.params import DAY, HOUR
 from pitpanel.plans.ordered import exact_quantiles, time_bucket, with_value_bucket
 from pitpanel.session import materialize, scratch_path
 from pitpanel.sources import manifests, panel
-from queries.base import (CURVE, EU, FEB, FINE, JAN, TICKS, Panel, curve, fine, query, r6, rates,
+from queries.base import (COARSE, CURVE, EU, FEB, FINE, JAN, TICKS, Panel, curve, fine, query, r6, rates,
                           table, ticks)
-from queries.outcomes import NATION_ROUNDS, RATES, feature_rows, nation_rounds
+from queries.outcomes import FEATURE_CTE, NATION_ROUNDS, RATES, feature_rows, nation_rounds
 
 A, B = JAN + 5 * DAY, JAN + 12 * DAY
 
@@ -329,11 +329,12 @@ def _(spark, sf):
         "doc_id", "source", "category", "rule", "included")
 
 
-@query("column_guard")
+@query("column_guard", f"""WITH RECURSIVE {FEATURE_CTE} SELECT F01_side, F22_round_side_count, count(*) AS n
+  FROM feats GROUP BY 1, 2""")
 def _(spark, sf):
     f = feature_rows(spark, sf)
     names = checks.column_guard([c for c in f.columns if c not in ("entity", "t")])
-    return f.select("entity", "t", *names)
+    return f.select(*names).groupBy("F01_side", "F22_round_side_count").agg(F.count(F.lit(1)).alias("n"))
 
 
 SPANS = """sp AS (SELECT o_orderkey AS symbol, epoch_us(any_value(o_orderdate)) // 1000 AS lo,
@@ -595,12 +596,19 @@ def _(spark, sf):
     return checks.partition_verify(rec, cal, "boundary")
 
 
-@query("lookahead_check")
+LOOK = JAN + 15 * DAY
+
+
+@query("lookahead_check", f"""WITH {COARSE} SELECT count(*) AS n_before, 0::BIGINT AS n_changed FROM coarse
+  WHERE boundary < {LOOK}""")
 def _(spark, sf):
-    from pitpanel.operators import windows
     base = materialize(bars.complete_bars(fine(spark, sf), p=EU))
-    return checks.lookahead_check(lambda d: windows.feature_series(windows.signals(d, EU), EU), base,
-                                  "boundary", JAN + 15 * DAY, ["open", "high", "low", "close"], "boundary")
+
+    def series(d):
+        return windows.feature_series(windows.signals(d, EU), EU)
+    changed = checks.lookahead_check(series, base, "boundary", LOOK, ["open", "high", "low", "close"], "boundary")
+    n = changed.select(F.count(F.lit(1))).scalar()
+    return base.filter(F.col("boundary") < LOOK).agg(F.count(F.lit(1)).alias("n_before")).withColumn("n_changed", n)
 
 
 DIV = """a AS (SELECT row_number() OVER (ORDER BY t, arm) - 1 AS seq, arm, t, equity FROM curve),
