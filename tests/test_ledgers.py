@@ -185,8 +185,8 @@ def test_divergence_and_guards(spark):
 
 def test_registry_order(spark):
     reg = {"a": {"bases": ["X"]}, "b": {"bases": ["Y"], "pattern": "^X"}, "c": {"pattern": "Z$"}}
-    df = spark.createDataFrame([("XUSDT",), ("XYUSDT",), ("YUSDT",), ("QZUSDT",), ("QUSDT",), ("USDT",)], "s string")
+    df = spark.createDataFrame([("XQQQQ",), ("XYQQQQ",), ("YQQQQ",), ("QZQQQQ",), ("QQQQQ",), ("QQQQ",)], "s string")
     out = {r["s"]: (r["category"], r["rule"], r["included"]) for r in
-           checks.registry_classify(df, "s", reg, "USDT").collect()}
-    assert out["XUSDT"] == ("a", "base-list", False) and out["XYUSDT"] == ("b", "pattern:^X", False)
-    assert out["YUSDT"] == ("b", "base-list", False) and out["QZUSDT"][0] == "c" and out["QUSDT"][2]
+           checks.registry_classify(df, "s", reg, "QQQQ").collect()}
+    assert out["XQQQQ"] == ("a", "base-list", False) and out["XYQQQQ"] == ("b", "pattern:^X", False)
+    assert out["YQQQQ"] == ("b", "base-list", False) and out["QZQQQQ"][0] == "c" and out["QQQQQ"][2]

@@ -83,7 +83,7 @@ def test_still_open_at_the_end_of_data(spark):
 
 
 def _walk(bars, t, side, r, due, valid):
-    """Reference walk of one candidate in time order."""
+    """Row-by-row walk of one candidate in time order."""
     by, times = {b[0]: b for b in bars}, sorted(b[0] for b in bars)
     if t not in by:
         return "cancelled", None
