@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.session import ensure_utc, materialize, scratch_path
 
-__all__ = ["WordHashes", "column_view", "materialize", "mix64", "numbered", "prepare", "scratch_path",
+__all__ = ["WordHashes", "column_view", "join_groups", "materialize", "mix64", "numbered", "prepare", "running_before", "scratch_path",
            "shuffle_partitions"]
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -84,3 +84,37 @@ class WordHashes(dict):
 
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of their group (one row per non-null ``key``), whatever the skew.
+
+    ``size`` counts the rows of a group. Groups above 1/``share`` of all rows are fewer than ``share``;
+    only these are broadcast. The others meet their rows in a shuffle none of them can dominate.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * share > total)
+    rest = groups.where(F.col(size) * share <= total)
+    first = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return first.unionByName(others)
+
+
+def running_before(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its group that come before in ``order``.
+
+    Rows are dealt by range of (group, order) and written once; sums run inside (range, group) and are
+    shifted by the sums of earlier ranges. A group may hold any share of the rows. Nulls group together.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    dealt = materialize(df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
+                        .withColumn("_mark", F.monotonically_increasing_id())
+                        .withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    inside = Window.partitionBy("_part", group).orderBy("_mark").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (range, group): at most ranges + groups
+    base = (dealt.groupBy("_part", group).agg(F.sum(value).alias("_sum"))
+            .select(F.col("_part").alias("_p"), F.col(group).alias("_g"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")))
+    own = dealt.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return (own.join(base, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+            .withColumn(name, F.col("_base") + F.col("_in")).drop("_mark", "_part", "_p", "_g", "_base", "_in"))
