@@ -17,15 +17,26 @@ from pyspark.sql import functions as F
 
 from .common import column_view, prepare
 
-WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8
+GRAMS, DIM, HIDDEN = 1 << 12, 8, 8
+LEAST, MOST_WORDS = 3, 1 << 14  # training rows that must hold a word to name it; words named
 SPAN, STRIDE = 32, 16
 
 
-def _features(word: bytes) -> tuple[int, list[int]]:
+def _features(word: bytes) -> tuple[str, list[int]]:
     w = word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()|")
     framed = f"<{w}>"
-    return (xxhash.xxh3_64_intdigest(w) % WORDS,
-            [xxhash.xxh3_64_intdigest(framed[i:i + 3]) % GRAMS for i in range(len(framed) - 2)] or [0])
+    return w, [xxhash.xxh3_64_intdigest(framed[i:i + 3]) % GRAMS for i in range(len(framed) - 2)] or [0]
+
+
+def _sums(rows: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their place in an array of ``n``."""
+    order = np.argsort(where, kind="stable")
+    at = where[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(at):
+        out[at[starts]] = np.add.reduceat(rows[order], starts)
+    return out
 
 
 def _windows(n: int) -> np.ndarray:
@@ -42,20 +53,26 @@ def _sigmoid(x):
 class Network:
     """Parameters ``p`` and their gradients; hidden states run both ways over each window."""
 
-    def __init__(self, seed: int = 3):
+    def __init__(self, seed: int = 3, words: dict[str, int] | None = None):
+        self.words = words or {}  # row 0: any other word
         g = np.random.default_rng(seed)
         init = lambda *s: (g.standard_normal(s) * 0.3).astype(np.float32)
-        self.p = {"words": init(WORDS, DIM) * 0.1, "grams": init(GRAMS, DIM) * 0.1,
+        self.p = {"words": init(len(self.words) + 1, DIM) * 0.1, "grams": init(GRAMS, DIM) * 0.1,
                   "attend": init(2 * HIDDEN, HIDDEN), "pick": init(HIDDEN), "out": init(2 * HIDDEN),
                   "bias": np.full(1, -1, np.float32)}
         for d in "fb":
             self.p |= {f"{d}_in": init(2 * DIM, 3 * HIDDEN), f"{d}_rec": init(HIDDEN, 3 * HIDDEN),
                        f"{d}_bias": np.zeros(3 * HIDDEN, np.float32)}
 
-    def embed(self, vocabulary: list[tuple[int, list[int]]]) -> np.ndarray:
+    def embed(self, vocabulary: list[tuple[str, list[int]]]) -> np.ndarray:
         """A row per word: its own vector and the mean of its trigrams'."""
-        grams = np.stack([self.p["grams"][g].mean(0) for _, g in vocabulary])
-        return np.hstack([self.p["words"][[w for w, _ in vocabulary]], grams])
+        sizes = np.array([len(g) for _, g in vocabulary])
+        flat = self.p["grams"][[x for _, g in vocabulary for x in g]]
+        grams = np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes[:, None]
+        return np.hstack([self.p["words"][self._known(vocabulary)], grams]).astype(np.float32)
+
+    def _known(self, vocabulary) -> np.ndarray:
+        return np.array([self.words.get(w, 0) for w, _ in vocabulary], np.int64)
 
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
         """States of one direction from projected inputs (window, place, 3 * hidden)."""
@@ -104,8 +121,8 @@ class Network:
         d_states = d_states + d_u @ p["attend"].T
         d_x = np.zeros_like(x)
         for i, d in enumerate("fb"):
-            rec, d_proj = p[f"{d}_rec"], np.zeros((len(x), 3 * H))
-            g[f"{d}_rec"], carry = np.zeros_like(rec), np.zeros((len(ids), H))
+            rec, d_in = p[f"{d}_rec"], np.zeros((*ids.shape, 3 * H), np.float32)
+            g[f"{d}_rec"], carry = np.zeros_like(rec), np.zeros((len(ids), H), np.float32)
             for t, h, z, r, c in reversed(sides[i][1]):
                 total = carry + d_states[:, t, i * H:(i + 1) * H]
                 dh = np.where(mask[:, t, None], total, 0)
@@ -114,13 +131,14 @@ class Network:
                 gates = np.hstack([dh * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)])
                 g[f"{d}_rec"] += np.hstack([h.T @ gates, (r * h).T @ dc])
                 carry = np.where(mask[:, t, None], dh * (1 - z) + d_rh * r + gates @ rec[:, :2 * H].T, total)
-                np.add.at(d_proj, ids[:, t], np.hstack([gates, dc]))
+                d_in[:, t] = np.hstack([gates, dc])
+            d_proj = _sums(d_in.reshape(-1, 3 * H), ids.ravel(), len(x))
             g[f"{d}_in"], g[f"{d}_bias"] = x.T @ d_proj, d_proj.sum(0)
             d_x = d_x + d_proj @ p[f"{d}_in"].T
-        g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-        np.add.at(g["words"], [w for w, _ in vocabulary], d_x[:, :DIM])
-        for row, (_, grams) in zip(d_x[:, DIM:], vocabulary, strict=True):
-            np.add.at(g["grams"], grams, row / len(grams))
+        g["words"] = _sums(d_x[:, :DIM], self._known(vocabulary), len(p["words"]))
+        sizes = np.array([len(grams) for _, grams in vocabulary])
+        flat = np.array([x for _, grams in vocabulary for x in grams])
+        g["grams"] = _sums(np.repeat(d_x[:, DIM:] / sizes[:, None], sizes, axis=0), flat, GRAMS)
         return g
 
 
@@ -142,30 +160,34 @@ def _batch(texts: list[list[bytes]]):
     return [_features(w) for w in index], np.concatenate(ids), np.concatenate(masks), np.concatenate(owner)
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = 6, size: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
+def train(rows: list[tuple[str | None, int]], epochs: int = 4, size: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
     """A network fitted to (text, label) rows by the soft maximum of each text's windows.
 
     First components of the embeddings start at the smoothed log odds of a word or trigram in toxic rows.
     Without rows of both labels the network stays as drawn.
     """
-    net, gen = Network(seed), np.random.default_rng(seed)
+    gen = np.random.default_rng(seed)
     data = [((t or "").encode().split(), int(y)) for t, y in rows]
     data = [(w, y) for w, y in data if w]
     total = np.bincount([y for _, y in data], minlength=2)[:2]
     if not total.all():
-        return net
-    seen = {"words": np.zeros((WORDS, 2)), "grams": np.zeros((GRAMS, 2))}
+        return Network(seed)
+    seen: dict[str, np.ndarray] = {}
+    grams = np.zeros((GRAMS, 2))
     for words, y in data:
         feats = [_features(w) for w in set(words)]
-        seen["words"][list({w for w, _ in feats}), y] += 1
-        seen["grams"][list({x for _, g in feats for x in g}), y] += 1
-    for k, c in seen.items():
+        for w in {w for w, _ in feats}:
+            seen.setdefault(w, np.zeros(2))[y] += 1
+        grams[list({x for _, g in feats for x in g}), y] += 1
+    # a word of one or two rows would only name these rows
+    named = sorted((w for w, c in seen.items() if c.sum() >= LEAST), key=lambda w: (-seen[w].sum(), w))[:MOST_WORDS]
+    net = Network(seed, {w: i + 1 for i, w in enumerate(named)})
+    for k, c in (("words", np.array([[0, 0], *[seen[w] for w in named]])), ("grams", grams)):
         odds = np.log((c[:, 1] + 0.5) / (total[1] + 1)) - np.log((c[:, 0] + 0.5) / (total[0] + 1))
-        # rare ones tell little
-        net.p[k][:, 0] = np.clip(odds * (c.sum(1) / (c.sum(1) + 4)), -3, 3)
+        net.p[k][:, 0] = np.clip(odds * (c.sum(1) >= LEAST), -3, 3)
     first = {k: np.zeros_like(v, dtype=np.float64) for k, v in net.p.items()}
     second, step = {k: np.zeros_like(v, dtype=np.float64) for k, v in net.p.items()}, 0
-    weight = total.sum() / (2 * total)
+    weight = (total.sum() / (2 * total)).astype(np.float32)
     for _ in range(epochs):
         order = gen.permutation(len(data))
         for at in range(0, len(order), size):
@@ -173,7 +195,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 6, size: int = 16, r
             vocabulary, ids, mask, owner = _batch([w for w, _ in part])
             x = net.embed(vocabulary)
             logit, held = net.forward(net.project(x), ids, mask, keep=True)
-            d = np.zeros(len(logit))
+            d = np.zeros(len(logit), np.float32)
             for i, (_, y) in enumerate(part):
                 mine = owner == i
                 share = np.exp(logit[mine] - logit[mine].max())
@@ -224,7 +246,7 @@ class Scorer:
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most: int = 700, most_chars: int = 12_000, threshold: float = 0.7) -> DataFrame:
+          most: int = 600, most_chars: int = 6_000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per row of ``docs``.
 
     Labels are learnt from rows whose crc32 of the id modulo 3 is not 1: at most ``most`` of each label, in
