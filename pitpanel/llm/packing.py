@@ -109,6 +109,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slots(shortest_pack_first(histogram, length))
     first, sequence, offset = (table[c].to_numpy() for c in ("first", "sequence", "offset"))
+    names = [*pieces.columns, "sequence_id", "offset"]
     ranked = numbered(pieces, ["length", "doc_id", "start"], "_pos")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             slot = np.searchsorted(first, pos, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(sequence[slot] + pos - first[slot], pa.int64()),
-                 pa.array(offset[slot], pa.int64())], [*pieces.columns, "sequence_id", "offset"])
+                 pa.array(offset[slot], pa.int64())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.select(*pieces.columns, "_pos").mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
