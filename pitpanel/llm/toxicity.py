@@ -160,7 +160,7 @@ def _batch(texts: list[list[bytes]]):
     return [_features(w) for w in index], np.concatenate(ids), np.concatenate(masks), np.concatenate(owner)
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = 4, size: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
+def train(rows: list[tuple[str | None, int]], epochs: int = 3, size: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
     """A network fitted to (text, label) rows by the soft maximum of each text's windows.
 
     First components of the embeddings start at the smoothed log odds of a word or trigram in toxic rows.
@@ -245,8 +245,27 @@ class Scorer:
         return float(_sigmoid(best))
 
 
+def fit(rows: list[tuple[str | None, int]], threshold: float, train_chars: int = 4_000) -> Network:
+    """A network trained on the shorter texts among three rows of four, its bias moved so that ``threshold`` parts the fourth best.
+
+    Best: the lowest miss rate plus twice the false-alarm rate. Training sees a soft mean of windows and
+    scoring the highest, which rises with length; the move makes up for it.
+    """
+    net = train([r for i, r in enumerate(rows) if i % 4 and len(r[0] or "") <= train_chars])
+    scorer = Scorer(net)
+    pairs = [(scorer.score(t), int(y)) for t, y in rows[::4] if (t or "").split()]
+    logits = np.array([np.log(max(p, 1e-12) / max(1 - p, 1e-12)) for p, _ in pairs])
+    toxic = np.array([y for _, y in pairs], bool)
+    if toxic.any() and not toxic.all():
+        at = np.sort(logits)
+        cuts = (at[1:] + at[:-1]) / 2
+        cost = [(logits[toxic] < c).mean() + 2 * (logits[~toxic] >= c).mean() for c in cuts]
+        net.p["bias"] = (net.p["bias"] + np.log(threshold / (1 - threshold)) - cuts[int(np.argmin(cost))]).astype(np.float32)
+    return net
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most: int = 600, most_chars: int = 6_000, threshold: float = 0.7) -> DataFrame:
+          most: int = 400, most_chars: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per row of ``docs``.
 
     Labels are learnt from rows whose crc32 of the id modulo 3 is not 1: at most ``most`` of each label, in
@@ -261,7 +280,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = view.where(F.length("text") <= most_chars).join(known, "doc_id")
     order = [crc, "doc_id", F.md5("text")]
     rows = [(r["text"], r["label"]) for y in (0, 1) for r in usable.where(F.col("label") == y).orderBy(*order).limit(most).collect()]
-    net = spark.sparkContext.broadcast(train(rows))  # a fixed size, whatever the input
+    net = spark.sparkContext.broadcast(fit(rows, threshold))  # a fixed size, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net.value)
