@@ -1,16 +1,16 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
-Two sets with similarity of at least 4/5 differ in at most a ninth of the sum of their sizes. The hash
-range is cut into segments, more for larger bands of sizes; a set that names its first ``d + 1``
-filled segments, ``d`` being the most it may differ from a partner, shares the whole content of one of
-them with every partner. Sets meet in tiles of one (band, segment, content). Tiles are first linked
-through one centre each, then only members still apart are compared, by bitmaps and then exactly.
-The method loses no pair (up to 64-bit hashes of shingles).
+Two sets with similarity of at least 4/5 differ in at most a ninth of the sum of their sizes. A set
+names its first ``d + 1`` shingles in one order that all sets share, ``d`` being the most it may lack
+of a partner, so that partners name one in common. The order puts shingles of many sets last: a
+passage that many documents share is named only where there's little else. Sets meet in tiles of one
+(band of sizes, shingle). Tiles are first linked through a few centres, then only members still apart
+are compared, by bitmaps and then exactly. The method loses no pair (up to 64-bit hashes of shingles).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from .common import WordHashes, column_view, join_groups, materialize, mix64, prepare
 from .fertility import WINDOW, window_hashes
 
-SMALL = 32  # sizes below have one segment per shingle
+SMALL = 32  # sizes below are one band
 TILE = 512
+OFTEN = 64  # a shingle of fewer sets is not told from a rare one
+TABLE = 1 << 20  # most rows of the table of frequent shingles
+CHUNK = 1 << 22  # shingles counted at a time
 _GOLD = 0x9E3779B97F4A7C15  # fixed value
+_ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x7FFFFFFFFFFFFFFF)  # fixed values
 _WORDS = WordHashes()
 
 
@@ -67,35 +71,72 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def tiles(h: np.ndarray) -> np.ndarray:
-    """Keys of the tiles of one set; two linked sets share one."""
+Counts = tuple[np.ndarray, np.ndarray]
+_NONE: Counts = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def tiles(h: np.ndarray, often: Counts = _NONE) -> np.ndarray:
+    """Keys of the tiles of one set; two linked sets share one. ``often``: sorted shingles, their counts."""
     n = len(h)
     if not n:
         return np.empty(0, np.uint64)
+    named, counts = h, often[1]
+    if len(counts):
+        at = np.minimum(np.searchsorted(often[0], h), len(counts) - 1)
+        named = h[np.argsort(np.where(often[0][at] == h, counts[at], 0), kind="stable")]
     largest, out = 5 * n // 4, []
     band = 0 if n < SMALL else n.bit_length() - (SMALL.bit_length() - 1)
-    mixed = mix64(h + np.uint64(_GOLD))
     while True:
         low, high = (1, SMALL - 1) if band == 0 else (SMALL << (band - 1), (SMALL << band) - 1)
         if low > largest:
             return np.concatenate(out)
-        need = (n + min(largest, high)) // 9 + 1
-        if band == 0:
-            part, content = np.arange(n), mixed
-            part = part * 0
-        else:
-            m = high * 34 // 100 + 8
-            part = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            part, content = part[starts], np.add.reduceat(mixed, starts)
-        salt = np.uint64(band * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-        keys = mix64((content ^ salt) + part.astype(np.uint64) * np.uint64(_GOLD))[:need]
-        if len(keys) < need:  # too few filled segments: such sets also meet each other
-            keys = np.append(keys, mix64(np.array([salt ^ np.uint64(1)], np.uint64)))
-        out.append(keys)
+        salt = np.uint64((band + 1) * _GOLD & (1 << 64) - 1)
+        out.append(mix64(named[: (n + min(largest, high)) // 9 + 1] ^ salt))
         band += 1
 
 
+def frequent(sets: DataFrame) -> Counts:
+    """Shingles of many sets with their counts, sorted; they only settle an order, so counts may be low.
+
+    Tasks count chunks of their shingles and pass on those met twice. A shingle in the table has more
+    than 1/``TABLE`` of all shingles of all sets, so the table has fewer than ``TABLE`` rows at any size.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def repeated():
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
+        for _, raw in _unseen(batches):
+            held.append(np.frombuffer(raw, "<u8"))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield repeated()
+                held, size = [], 0
+        if held:
+            yield repeated()
+
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    table = (sets.where("set_id IS NOT NULL").select("set_id", "hashes").mapInArrow(count, "shingle bigint, n bigint")
+             .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > max(OFTEN, total // TABLE)).toArrow())
+    shingle, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows (set_id, hashes) of sets that the task doesn't remember, so copies don't pile up."""
+    seen: set[int] = set()
+    for batch in batches:
+        for sid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if sid not in seen:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(sid)
+                yield sid, raw
+
+
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
     """Columns of each run of rows that agree in the first ``width`` columns; rows come sorted."""
     held, key = None, None
@@ -127,34 +168,38 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(build, "doc_id bigint, set_id bigint, n_shingles bigint, hashes binary")
 
 
-def _tile_rows(sets: DataFrame) -> DataFrame:
-    """(tile, set_id); a task names a set once while it remembers it, so copies don't pile up."""
+def _tile_rows(sets: DataFrame, often: Counts) -> DataFrame:
+    """(tile, set_id) of every set, in batches."""
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys, ids = [], []
-            for sid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if sid in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(sid)
-                k = tiles(np.frombuffer(raw, "<u8"))
-                keys.append(k.view(np.int64))
-                ids.append(np.full(len(k), sid, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["tile", "set_id"])
+        keys, ids, size = [], [], 0
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["tile", "set_id"])
+
+        for sid, raw in _unseen(batches):
+            k = tiles(np.frombuffer(raw, "<u8"), shared.value)
+            keys.append(k.view(np.int64))
+            ids.append(np.full(len(k), sid, np.int64))
+            size += len(k)
+            if size >= 100_000:
+                yield rows()
+                keys, ids, size = [], [], 0
+        if keys:
+            yield rows()
 
     return sets.where("set_id IS NOT NULL").select("set_id", "hashes").mapInArrow(emit, "tile bigint, set_id bigint")
 
 
 def _centred(rows: DataFrame) -> DataFrame:
-    """(tile, set_id, centre) of tiles with several sets, the centre being a tile's smallest set.
+    """(tile, set_id, centre) of tiles with several sets.
 
+    The centre is a tile's first set in one of four orders, so that a group of copies has a few centres.
     Streams over sorted rows without holding a tile.
     """
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # tile, centre, last set, whether the centre is written
+        last = None  # tile, centre, last set
         for batch in batches:
             tile, sid = (batch.column(i).to_numpy() for i in range(2))
             if not len(tile):
@@ -172,7 +217,8 @@ def _centred(rows: DataFrame) -> DataFrame:
                                                  ["tile", "set_id", "centre"])
             last = (tile[-1], centre[-1], sid[-1])
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "set_id").mapInArrow(
+    order = F.col("set_id").bitwiseXOR(F.element_at(F.array(*[F.lit(x) for x in _ORDERS]), (F.pmod("tile", F.lit(4)) + 1).cast("int")))
+    return rows.repartition("tile").sortWithinPartitions("tile", order).mapInArrow(
         walk, "tile bigint, set_id bigint, centre bigint")
 
 
@@ -223,39 +269,64 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
                 "node", F.coalesce("v", "node").alias("root"))
 
 
+def near_pairs(sizes: np.ndarray, bits: list[bytes], other: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Places (x, y) of rows, ascending by size, whose bitmaps leave room; ``other`` tells which rows x meets."""
+    widths = np.array([len(b) for b in bits])
+    held = {w: np.stack([np.frombuffer(bits[i], np.uint8) for i in np.flatnonzero(widths == w)]) for w in np.unique(widths).tolist()}
+    place = np.zeros(len(bits), np.int64)
+    for w in held:
+        place[widths == w] = np.arange(len(held[w]))
+    for x in range(len(bits) - 1):
+        rest = np.arange(x + 1, np.searchsorted(sizes, 5 * sizes[x] // 4, side="right"))
+        rest = rest[other(x, rest)]
+        mine, w = held[widths[x]][place[x]], widths[x]
+        for wide in np.unique(widths[rest]).tolist():
+            at = rest[widths[rest] == wide]
+            theirs = np.bitwise_or.reduce(held[wide][place[at]].reshape(len(at), wide // w, w), axis=1)
+            most = np.minimum(sizes[x] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64),
+                              sizes[at] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+            yield from ((x, y) for y in at[9 * most >= 4 * (sizes[x] + sizes[at])].tolist())
+
+
 def _apart(multi: DataFrame, roots: DataFrame, kept: DataFrame) -> DataFrame:
     """Pairs (a, b) of one tile in different components whose bitmaps leave room.
 
-    A tile of many sets is dealt into blocks, and each pair of blocks is one small task group.
+    The members of a tile's largest component aren't compared with each other: they and the others
+    are dealt into blocks of their own, and every pair of blocks that has others in it is one group.
     """
-    rows = (multi.select("tile", "set_id").union(multi.select("tile", "centre")).distinct()
-            .join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node"))
-    rows = materialize(rows)
-    mixed = materialize(rows.groupBy("tile").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-                        .where("lo != hi").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).select("tile", "n", "blocks"))
-    members = join_groups(rows, mixed, "tile", "n").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    dealt = (members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "root")
-             .join(kept.select("set_id", "n_shingles", "bits"), "set_id"))
+    rows = multi.select("tile", "set_id").union(multi.select("tile", F.col("centre").alias("set_id"))).distinct()
+    rows = materialize(rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
+    by_root = rows.groupBy("tile", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("tile").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = materialize(mixed.where("roots > 1").select(
+        "tile", "n", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / TILE).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("main.n")) / TILE).cast("int").alias("others")))
+    members = (join_groups(rows, mixed, "tile", "n").withColumn("in_main", F.col("root") == F.col("main"))
+               .withColumn("home", F.pmod(F.xxhash64("set_id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+               .join(kept.select("set_id", "n_shingles", "bits"), "set_id"))
+    cells = F.expr("""CASE WHEN in_main THEN transform(sequence(0, others - 1), x -> struct(-1 - home AS i, x AS j))
+        ELSE concat(transform(sequence(0, mains - 1), x -> struct(-1 - x AS i, home AS j)),
+                    transform(sequence(0, others - 1), x -> struct(least(home, x) AS i, greatest(home, x) AS j))) END""")
+    dealt = members.withColumn("cell", F.explode(cells)).select(
+        "tile", "cell.i", "cell.j", "in_main", "home", "set_id", "root", "n_shingles", "bits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
         for run in _runs(batches, 3):
-            (i, j), run = run[0][1:3], sorted(run, key=lambda r: r[6])
-            for x, a in enumerate(run):
-                for b in run[x + 1:]:
-                    if 4 * b[6] > 5 * a[6]:
-                        break
-                    if a[5] != b[5] and (i == j or a[3] != b[3]) and may_link(a[6], a[7], b[6], b[7]):
-                        out.add((min(a[4], b[4]), max(a[4], b[4])))
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-                out = set()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-
-    return (dealt.select("tile", "i", "j", "block", "set_id", "root", "n_shingles", "bits").repartition("tile", "i", "j")
-            .sortWithinPartitions("tile", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct())
+            (i, j), run = run[0][1:3], sorted(run, key=lambda r: r[7])
+            main, home, ids, root, sizes = (np.array([r[c] for r in run]) for c in range(3, 8))
+            side = main if i < 0 else home
+
+            def other(x, rest):
+                apart = root[rest] != root[x]
+                return apart if i == j else apart & (side[rest] != side[x])
+
+            found = list(near_pairs(sizes, [r[8] for r in run], other))
+            if found:
+                pair = np.sort(ids[np.array(found)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    return (dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+            .mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +339,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialize(_sets(column_view(docs, doc_id=id_col, text=text_col)))
     classes = materialize(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    multi = materialize(_centred(_tile_rows(sets)))
+    multi = materialize(_centred(_tile_rows(sets, frequent(sets))))
     wanted = multi.select("set_id").union(multi.select("centre")).distinct()
 
     def one_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +356,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         one_per_task, "set_id bigint, n_shingles bigint, hashes binary, bits binary")
     kept = materialize(distinct.join(wanted, "set_id", "left_semi").groupBy("set_id", "n_shingles").agg(
         F.first("hashes").alias("hashes"), F.first("bits").alias("bits")))
-    pairs = multi.select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct()
+    pairs = multi.select(F.least("centre", "set_id").alias("a"), F.greatest("centre", "set_id").alias("b")).distinct()
     edges = _check(pairs, kept)
     roots = materialize(smallest_reachable(edges))
     more = _check(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"), kept)

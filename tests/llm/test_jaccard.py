@@ -50,3 +50,17 @@ def test_components_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert jaccard.components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shared_passages_and_split_tiles(spark, monkeypatch):
+    """Many texts around one passage: frequent shingles go last, and tiles are compared in several blocks."""
+    monkeypatch.setattr(jaccard, "OFTEN", 5)
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    shared = [rng.choice(words) for _ in range(50)]
+    rows = [(i, " ".join(shared + [rng.choice(words) for _ in range(rng.randrange(1, 40))]), 0) for i in range(240)]
+    rows += [(1000 + i, t, 0) for i, (_, t, _) in enumerate(rows[::3])]
+    rows += [(2000 + i, t + " z", 0) for i, (_, t, _) in enumerate(rows[1:240:3])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
