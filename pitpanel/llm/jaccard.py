@@ -42,8 +42,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit per shingle by hash, in the power of two of bits that holds the set's size (64 at least)."""
-    bits = max(64, 1 << (len(h) - 1).bit_length())
+    """A bit per shingle by hash, in 8 times the power of two that holds the set's size (512 at least).
+
+    So few bits are shared by chance, and a difference is seen nearly whole.
+    """
+    bits = 8 * max(64, 1 << (len(h) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
