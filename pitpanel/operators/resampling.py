@@ -16,6 +16,7 @@ from pitpanel.operators.reports import downside, sortino_of
 from pitpanel.params import DAY, DEFAULTS, Params
 from pitpanel.plans.ordered import (mid_ranks, running, time_bucket, with_position,
                                     with_time_key_bucket, with_value_bucket)
+from pitpanel.session import materialize
 
 
 def replicates(n: int) -> Column:
@@ -71,8 +72,10 @@ def time_blocks(df: DataFrame, t: str, anchor: Column, length: int = DEFAULTS.bl
 
 def eligible_offsets(df: DataFrame, t: str, length: int = DEFAULTS.block_ms) -> DataFrame:
     """Boundaries displaced from the first one by at least a block and at most span minus a
-    block, with the number of rows before them: ``(j, boundary, shift)``."""
-    per = df.groupBy(t).agg(F.count(F.lit(1)).alias("_n"))
+    block, with the number of rows before them: ``(j, boundary, shift)``.
+
+    The counts per time are written once, as the ends and the running sums all read them."""
+    per = materialize(df.groupBy(t).agg(F.count(F.lit(1)).alias("_n")))
     per = per.withColumn("_a", per.select(F.min(t)).scalar()).withColumn("_b", per.select(F.max(t)).scalar())
     seq = running(per, [], [t], time_bucket(t, 90 * DAY),
                   {"_cum": ("sum", F.col("_n")), "_j": ("count", F.lit(1))})
@@ -84,7 +87,7 @@ def eligible_offsets(df: DataFrame, t: str, length: int = DEFAULTS.block_ms) ->
 def rotation_offsets(df: DataFrame, t: str, reps: int, seed: int,
                      length: int = DEFAULTS.block_ms) -> DataFrame:
     """One eligible rotation per replicate, drawn with replacement: ``(rep, j, shift)``."""
-    e = eligible_offsets(df, t, length)
+    e = materialize(eligible_offsets(df, t, length))
     placed = with_position(e, [], ["boundary"], time_bucket("boundary", 90 * DAY), "_k")
     n = e.select(F.count(F.lit(1))).scalar()
     picks = (df.sparkSession.range(reps).select(F.col("id").alias("rep")).withColumn("_n", n)
@@ -284,7 +287,6 @@ def learnability(df: DataFrame, t: str, key: str, y: str, prob: str, score: str,
 
     One row. ``effects`` are the smallest deviations of interest of AUC and rank IC.
     """
-    from pitpanel.session import materialize
     base = materialize(df.select(t, key, y, prob, score))
     offs = materialize(rotation_offsets(base, t, reps, seed, p.block_ms))
     keyed = with_time_key_bucket(base, t, key)
