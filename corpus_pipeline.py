@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality rules, exact and near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next stage's documents. All but the last return the columns of documents.
+as the next stage's documents. All but the last return the columns of documents. Stages judge rows, not
+ids: rows that share an id or have none are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -19,26 +20,35 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands."""
-    kept = fertility.quality(docs, public_tokenizers.path("piece_bpe_32k.model")).where("kept").select("doc_id").distinct()
-    return _keep(docs, kept)
+    """Rows that pass the base rules and the fertility bands, each judged by its own text."""
+    rows = _rows(docs)
+    judged = fertility.quality(rows, public_tokenizers.path("piece_bpe_32k.model"), id_col="_row")
+    return _keep(rows, judged.where("kept").select(F.col("doc_id").alias("_row")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of equal texts."""
-    return _keep(docs, exact.exact_groups(docs).where("kept").select("doc_id").distinct())
+    """One row of each group of equal texts: the smallest id, null last; any one where rows repeat it."""
+    rows = _rows(docs)
+    groups = exact.exact_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    return _keep(rows, _first(rows, groups))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of near duplicates."""
-    return _keep(docs, jaccard.components(docs).where("doc_id <=> component_id").select("doc_id").distinct())
+    """One row of each component of near duplicates: the smallest id, null last; any one where rows repeat it.
+
+    A row without words is its own component and stays.
+    """
+    rows = _rows(docs)
+    groups = jaccard.components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    return _keep(rows, _first(rows, groups))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix reads it, to the nearest whole number."""
-    times = (mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).alias("times"))
-             .where("times > 0"))
-    again = docs.join(materialize(times), "doc_id")
+    """Each row as many times as the mix reads it, to the nearest whole number."""
+    rows = _rows(docs)
+    times = (mixing.mix(rows, row_col="_row").where("size > 0")
+             .select("_row", F.expr("(2 * taken + size) div (2 * size)").alias("times")).where("times > 0"))
+    again = rows.join(materialize(times), "_row")
     return again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*COLUMNS)
 
 
@@ -47,8 +57,20 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(materialize(ids), "doc_id", "left_semi").select(*COLUMNS)
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with a key of its own for every row, as ids may repeat or be null."""
+    return materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The one row of each group that stays; texts don't move, and groups of any size shrink before the shuffle."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    named = rows.select("_row", "doc_id").join(groups, "_row")
+    return named.groupBy("_group").agg(F.min(order).alias("first")).select("first._row")
+
+
+def _keep(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return rows.join(materialize(keys), "_row", "left_semi").select(*COLUMNS)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),

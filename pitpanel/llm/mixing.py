@@ -70,17 +70,19 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = 32, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken; one row per document.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken; one row per document. ``row_col`` is carried along if named.
 
     Sizes are words (null text: 0). Blocks hold ``block`` words, so a source misses its target by a few
     blocks. No document is taken more than ``most`` times; rows of one id and source are laid apart by
     their size, and full repeats share what the rows take evenly in order. A mix without words takes
-    nothing. Null sources form one source, null ids are laid together. Reruns agree.
+    nothing. Null sources form one source, null ids are laid together. Rows of one id and size are laid by
+    their text. Reruns agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    view = column_view(docs, doc_id=id_col, text=text_col, source=source_col)
-    sizes = materialize(view.select("doc_id", "source", size.alias("size")))
+    carried = {"_carried": row_col} if row_col else {}
+    view = column_view(docs, doc_id=id_col, text=text_col, source=source_col, **carried)
+    sizes = materialize(view.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie"), *carried))
     sources = materialize(targets(sizes, most, weights))
     slots = materialize(schedule(sources, block))
     count = slots.groupBy("at").agg(F.count("*").alias("slots"))
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, block: int = 32, most: int = 3, weights: tuple[int, ...
     keyed = sizes.withColumn("key", F.struct("source")).drop("source")
     rows = join_groups(keyed, table.withColumn("key", F.struct("source")).drop("source"), "key", "rows").drop("key")
     rows = rows.withColumn("shuffle", F.xxhash64("doc_id", F.lit(seed)))
-    laid = materialize(running_before(rows, "no", ["shuffle", "doc_id", "size"], "size", "pos")
+    laid = materialize(running_before(rows, "no", ["shuffle", "doc_id", "size", "tie"], "size", "pos")
                        .withColumn("row", F.monotonically_increasing_id()))
     # the words a source gives end where its slots or its allowed repeats do
     end = F.least(F.col("slots") * block, most * F.col("source_size"))
@@ -102,4 +104,5 @@ def mix(docs: DataFrame, block: int = 32, most: int = 3, weights: tuple[int, ...
     given = pieces.join(slots.select(F.col("at").alias("no"), "rank"), ["no", "rank"]).groupBy("row").agg(
         F.sum(words).alias("taken"))
     return laid.join(given, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        *[F.col(c).alias(name) for c, name in carried.items()])
