@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact, fertility, fixity, jaccard, mixing, packing, personal, toxicity, wavelet
+from .common import join_groups, materialize
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -41,13 +42,10 @@ def op4_merkle_audit(spark: SparkSession, sf: str) -> DataFrame:
 def op5_preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation as chosen, itself with its last turn cut to the first half as rejected."""
     turns = _table(spark, sf, "conversations")
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    last = materialize(turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("n")))
     half = F.when(F.col("turn") == F.col("last"), F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text"))
-    rejected = turns.join(last, "conv_id").withColumn("text", half).drop("last")
-    return chat.preference_pairs(turns, rejected, public_tokenizers.path(BYTE_VOCABULARY)).select(
-        "conv_id", "n_shared_turns", F.sha2("prompt", 256).alias("prompt_sha256"), F.size("chosen_ids").alias("n_chosen"),
-        F.size("rejected_ids").alias("n_rejected"), F.expr("aggregate(chosen_mask, 0, (a, x) -> a + x)").alias("chosen_loss_tokens"),
-        F.expr("aggregate(rejected_mask, 0, (a, x) -> a + x)").alias("rejected_loss_tokens"))
+    rejected = join_groups(turns, last, "conv_id", "n").withColumn("text", half).drop("last", "n")
+    return chat.pair_counts(chat.preference_turns(turns, rejected, public_tokenizers.path(BYTE_VOCABULARY), with_ids=False))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
