@@ -2,8 +2,8 @@
 
 A public vocabulary with byte fallback is run over every word of every text. Three measures tell
 language from noise: code points per token, the share of tokens that are bare bytes, and the entropy
-of the token distribution against the most its length allows. Each language, or script where a
-language is unknown or rare, has bands around its own middle; a document beyond a band is rejected.
+of the token distribution against what its length predicts. Each language, or script where a language
+is unknown, has bands per length around its own middle; a document beyond a band is rejected.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, column_view, materialize, mix64, prepare
 
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
+JUDGED = ("chars_per_token", "fallback_share", "entropy_excess")
 STATS = ("doc_id bigint, lang string, script string, n_words bigint, word_chars bigint, n_symbols bigint, "
          "n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, n_fallback bigint, token_entropy double")
 WINDOW = 5
@@ -141,60 +142,106 @@ def document_stats(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 _HASHES = WordHashes()
 
 
-def bands(stats: DataFrame, group: str, spread: float, min_docs: int, min_tokens: int) -> DataFrame:
-    """Band of each measure per group: the quartiles of all its documents, widened ``spread`` times.
+def _quartiles(stats: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Count, median length and quartiles of each measure per group, from partial quantile summaries."""
+    aggs = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in JUDGED]
+    q = stats.groupBy(*keys).agg(F.count("*").alias(f"{prefix}n"), F.percentile_approx("n_tokens", 0.5).alias(f"{prefix}tokens"), *aggs)
+    return q.select(*keys, f"{prefix}n", f"{prefix}tokens", *[
+        F.col(m)[i].alias(f"{prefix}{m}_{side}") for m in JUDGED for i, side in enumerate(("q1", "q3"))])
 
-    Only partial quantile summaries move, so a group may hold any share of the rows. Groups with fewer
-    than ``min_docs`` measurable documents get none.
+
+def expected_entropy(stats: DataFrame) -> list[float]:
+    """Coefficients, constant first, of the token entropy that a length predicts: a parabola in its logarithm.
+
+    Fitted to the medians of all length classes, weighted by their rows, so that neither noise nor a
+    class of one row moves it. There are as many classes as a length has bits.
+    """
+    rows = stats.groupBy("length_class").agg(
+        F.count("*").alias("n"), F.percentile_approx("log_tokens", 0.5, 10_000).alias("x"),
+        F.percentile_approx("token_entropy", 0.5, 10_000).alias("y")).orderBy("length_class").collect()
+    if not rows:
+        return [0.0]
+    n, x, y = (np.array([r[c] for r in rows], float) for c in "nxy")
+    return np.polynomial.polynomial.polyfit(x, y, min(2, len(rows) - 1), w=np.sqrt(n)).tolist()
+
+
+def bands(stats: DataFrame, spread: float, prior: int) -> DataFrame:
+    """group, script, length_class and the lowest and highest usual value of each measure, for all that occur.
+
+    A band is the middle half of comparable rows, widened ``spread`` times its width on both sides. Rows
+    compare within their group and length class; the fewer there are, the more their quartiles give way
+    to those of the group (whose width is taken to grow as the root of the length falls), and the group's
+    to those of its script. A script has its own middle, as scripts differ in kind; the width of a small
+    one gives way to that of all rows. ``prior`` is the number of rows at which both weigh the same;
+    widths of small groups and scripts grow up to threefold. So every row has a band at any size.
     """
-    long_enough = stats.where(F.col("n_tokens") >= min_tokens)
-    low_high = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in MEASURES]
-    q = long_enough.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"), *low_high)
-    out = q.where(F.col("_n") >= min_docs)
-    for m in MEASURES:
-        low, high = F.col(m)[0], F.col(m)[1]
-        out = out.withColumn(f"{m}_low", low - spread * (high - low)).withColumn(
-            f"{m}_high", high + spread * (high - low))
-    return out.select(group, *[f"{m}_{side}" for m in MEASURES for side in ("low", "high")])
+    whole = _quartiles(stats, [], "a_")
+    by_script, by_group = _quartiles(stats, ["script"], "s_"), _quartiles(stats, ["group"], "g_")
+    by_class = _quartiles(stats, ["group", "length_class"], "c_")
+    t = (stats.select("group", "script", "length_class").distinct().join(by_class, ["group", "length_class"])
+         .join(by_group, "group").join(by_script, "script").crossJoin(whole))
+
+    def blend(n, own, parent):
+        return own + (parent - own) * (prior / (F.col(n) + prior))  # exactly the value where both agree
+
+    def wider(n):
+        return 1 + 2 * prior / (F.col(n) + prior)
+
+    out = []
+    for m in JUDGED:
+        (a1, a3), (s1, s3), (g1, g3), (c1, c3) = ((F.col(f"{p}_{m}_q1"), F.col(f"{p}_{m}_q3")) for p in "asgc")
+        width = blend("s_n", s3 - s1, a3 - a1) * wider("s_n")
+        width = blend("g_n", g3 - g1, width) * wider("g_n")
+        low, high = blend("g_n", g1, s1), blend("g_n", g3, s3)
+        shorter = F.sqrt(F.greatest(F.lit(1.0), F.col("g_tokens") / F.col("c_tokens")))
+        # many copies can leave a class without width
+        width = F.greatest(blend("c_n", c3 - c1, width * shorter), width / 2)
+        out += [(blend("c_n", c1, low) - spread * width).alias(f"{m}_low"), (blend("c_n", c3, high) + spread * width).alias(f"{m}_high")]
+    return t.select("group", "script", "length_class", *out)
 
 
 def quality(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-            spread: float = 3.0, fallback_floor: float = 0.02, min_docs: int = 100, min_tokens: int = 64,
-            min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+            spread: float = 3.0, fallback_floor: float = 0.02, prior: int = 10, min_words: int = 10,
+            max_repeat_percent: int = 20) -> DataFrame:
     """Measures and verdict of every document; one row per row of ``docs``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in
     repeated five-word windows. Otherwise a document is kept unless a measure lies outside the band of
-    its language: the middle half of the language's documents, widened ``spread`` times its width on
-    both sides; the share of byte fallback must also pass ``fallback_floor``, as most languages have
-    next to none. Documents under ``min_tokens`` tokens are too short to be measured. A null or rare
-    language (under ``min_docs``) is judged by its script; where that is rare too, only the base rules
-    hold. ``reason`` names the first broken rule. Null and empty texts fail the base rules.
+    its language and length (``bands``); rows without a language are compared with those of their script.
+    Every text with words is judged, whatever its length and its language's number of documents.
+    ``entropy_excess`` is what the token entropy has beyond the one its length predicts, and is judged
+    under the reason entropy; ``entropy`` is the share of the most its length allows. The share of byte
+    fallback must also pass ``fallback_floor``, as most languages have next to none, and be more than one
+    character of four bytes. ``reason`` names the first broken rule. Null and empty texts fail the base
+    rules. A text alone in its script has only itself to be compared with.
     """
     stats = document_stats(docs, vocabulary, id_col, text_col, lang_col)
-    most = F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double"))
+    n = F.greatest(F.col("n_tokens"), F.lit(1))
+    log = F.log2(n.cast("double"))
     stats = materialize(
-        stats.withColumn("chars_per_token", F.col("word_chars") / F.greatest(F.col("n_tokens"), F.lit(1)))
-        .withColumn("fallback_share", F.col("n_fallback") / F.greatest(F.col("n_tokens"), F.lit(1)))
-        .withColumn("entropy", F.coalesce(F.col("token_entropy") / most, F.lit(0.0))))
-    sides = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    by_lang = bands(stats, "lang", spread, min_docs, min_tokens).select("lang", *[F.col(s).alias(f"l_{s}") for s in sides])
-    by_script = bands(stats, "script", spread, min_docs, min_tokens).select(
-        "script", *[F.col(s).alias(f"s_{s}") for s in sides])
-    # both tables have at most one row per min_docs documents of a language; adaptive joins size them
-    judged = stats.join(by_lang, "lang", "left").join(by_script, "script", "left")
-    band = {s: F.coalesce(f"l_{s}", f"s_{s}") for s in sides}
+        stats.withColumn("chars_per_token", F.col("word_chars") / n).withColumn("fallback_share", F.col("n_fallback") / n)
+        .withColumn("entropy", F.coalesce(F.col("token_entropy") / F.greatest(log, F.lit(1.0)), F.lit(0.0)))
+        .withColumn("log_tokens", log).withColumn("length_class", F.floor("log_tokens").cast("int"))
+        .withColumn("group", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))))
+    measured = stats.where("n_tokens > 0")
+    expected = F.lit(0.0)
+    for c in reversed(expected_entropy(measured)):
+        expected = expected * F.col("log_tokens") + F.lit(c)
+    stats = stats.withColumn("entropy_excess", F.coalesce(F.col("token_entropy") - expected, F.lit(0.0)))
+    band = materialize(bands(stats.where("n_tokens > 0"), spread, prior))
+    # one row per language, script and length class; adaptive joins size it
+    judged = stats.join(band, ["group", "script", "length_class"], "left")
     base = F.when(F.col("n_words") < min_words, "few_words").when(
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"), "repeated_words")
-    long_enough = F.col("n_tokens") >= min_tokens
     verdict = base
-    for m in MEASURES:
-        high = F.greatest(band[f"{m}_high"], F.lit(fallback_floor)) if m == "fallback_share" else band[f"{m}_high"]
-        out = F.col(m) > high
-        if m != "fallback_share":
-            out = out | (F.col(m) < band[f"{m}_low"])
-        verdict = verdict.when(long_enough & out, m)
+    for m in JUDGED:
+        out = F.col(m) > F.col(f"{m}_high")
+        if m == "fallback_share":
+            out = out & (F.col(m) > fallback_floor) & (F.col("n_fallback") > 4)
+        else:
+            out = out | (F.col(m) < F.col(f"{m}_low"))
+        verdict = verdict.when(out, "entropy" if m == "entropy_excess" else m)
     return (judged.withColumn("base_failed", base.isNotNull()).withColumn("reason", verdict)
             .withColumn("kept", F.col("reason").isNull())
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-                    "reason", "lang", "script", "n_tokens", *MEASURES))
+                    "reason", "lang", "script", "n_tokens", *MEASURES, "entropy_excess"))
