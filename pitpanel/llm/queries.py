@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, fertility, fixity, jaccard, mixing, packing, personal, toxicity, wavelet
+from . import chat, exact, fertility, fixity, jaccard, mixing, packing, personal, secrets, spelling, toxicity, wavelet, whitening
 from .common import join_groups, materialize
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -68,17 +68,30 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op11_trigram_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find(_table(spark, sf, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group(_table(spark, sf, "documents"))
+
+
+def op13_feast_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_wavelet_shards, op2_shortest_pack_first, op3_fertility_rules, op4_merkle_audit, op5_preference_pairs,
-    op6_ngram_jaccard, op7_exact_dedup, op8_source_mix, op9_personal_spans, op10_toxicity, pipeline)}
+    op6_ngram_jaccard, op7_exact_dedup, op8_source_mix, op9_personal_spans, op10_toxicity,
+    op11_trigram_secrets, op12_spelling_variants, op13_feast_whitening, pipeline)}
 
 ORACLES = {"op7_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)"""}
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)""", "op11_trigram_secrets": secrets.oracle_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

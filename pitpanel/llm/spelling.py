@@ -79,58 +79,43 @@ def lists(vocab: DataFrame, least: int, most: int) -> DataFrame:
         rows = rows.join(large, "list", "left_semi")
 
 
+def _shared(a: str, b: str) -> int:
+    k, end = 0, min(len(a), len(b))
+    while k < end and a[k] == b[k]:
+        k += 1
+    return k
+
+
 def _near(words: list[str]) -> Iterator[tuple[int, int]]:
     """Positions i < j of sorted distinct ``words`` that are one edit apart."""
-    shared = [0] * (len(words) + 1)
-    for i in range(1, len(words)):
-        p, q = words[i - 1], words[i]
-        k, end = 0, min(len(p), len(q))
-        while k < end and p[k] == q[k]:
-            k += 1
-        shared[i] = k
+    adjacent = [0, *(_shared(p, q) for p, q in zip(words, words[1:]))]
     for i, query in enumerate(words):
         n = len(query)
-        # row d: edits between a prefix of d letters and the first d-1, d, d+1 letters of the query, 2 for more
-        rows = [(2, 0, 1)] + [(1, 0, 1)] * n
-        rows[n] = (rows[n][0], 0, 2)
-        depth, j = n, i + 1  # rows of the query's own prefixes serve the next word
-        depth_known = n
+        # row d: edits between the first d letters of a word and the first d-1, d, d+1 of the query, 2 for
+        # more; those of the query's own prefixes serve the words after it
+        rows = [(2, 0, 1), *[(1, 0, 1)] * n]
+        rows[n] = (*rows[n][:2], 2)
+        last, j = i, i + 1
         while j < len(words):
             word = words[j]
-            depth_known = min(depth_known, shared[j])
-            d = depth = depth_known
-            del rows[d + 1:]
-            end, dead = len(word), 0
-            while d < end:
-                low, mid, high = rows[d]
-                c = word[d]
-                d += 1
-                # columns d-1, d, d+1 of row d from columns d-2.., d-1, d of row d-1
-                left = min(low + (c != query[d - 2]) if 0 <= d - 2 < n else 2, mid + 1) if d - 1 <= n else 2
-                here = min(mid + (c != query[d - 1]), high + 1, left + 1) if d <= n else 2
-                right = min(high + (c != query[d]), here + 1) if d + 1 <= n else 2
-                row = (min(left, 2), min(here, 2), min(right, 2))
-                if min(row) > 1:
-                    dead = d
+            shared = adjacent[j] if j == last + 1 else _shared(words[last], word)
+            del rows[shared + 1:]
+            last = j
+            for d in range(len(rows), len(word) + 1):
+                (low, mid, high), c = rows[-1], word[d - 1]
+                left = min(low + (c != query[d - 2]), mid + 1, 2) if d <= n + 1 else 2
+                here = min(mid + (c != query[d - 1]), high + 1, left + 1, 2) if d <= n else 2
+                right = min(high + (c != query[d]), here + 1, 2) if d < n else 2
+                if min(left, here, right) > 1:
+                    # nothing that starts like this is near
+                    j = bisect_left(words, word[:d] + _LAST, j + 1)
                     break
-                rows.append(row)
-            depth_known = d - 1 if dead else end
-            if dead:
-                j = bisect_left(words, word[:dead] + _LAST, j + 1)
-                if j < len(words):
-                    # the words between share no more with the next one than its neighbour does
-                    k = 0
-                    other = words[j]
-                    while k < dead - 1 and k < len(other) and other[k] == word[k]:
-                        k += 1
-                    depth_known = k
-                    shared_at = shared[j]
-                    depth_known = min(depth_known, dead - 1) if shared_at >= 0 else depth_known
-                continue
-            at = n - end + 1
-            if 0 <= at <= 2 and rows[end][at] == 1:
-                yield i, j
-            j += 1
+                rows.append((left, here, right))
+            else:
+                at = n - len(word) + 1
+                if 0 <= at <= 2 and rows[-1][at] == 1:
+                    yield i, j
+                j += 1
 
 
 def near_pairs(vocab: DataFrame, least: int = 7, most: int = 2000) -> DataFrame:
