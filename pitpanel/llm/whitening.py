@@ -24,44 +24,57 @@ _LOW, _HIGH = -(1 << 31), (1 << 31) - 1
 
 
 # ---------------------------------------------------------------- eigenpairs
-def inertia_above(matrix: np.ndarray, shift: float) -> int:
-    """Number of eigenvalues above ``shift``: the positive part of the inertia of ``matrix - shift``.
-
-    Symmetric elimination with diagonal pivots of one or two rows (Bunch and Parlett), so the signs of
-    the blocks are those of the eigenvalues.
-    """
-    a = matrix - shift * np.eye(len(matrix))
-    above, alpha = 0, (1 + math.sqrt(17)) / 8
-    while len(a):
-        diagonal = np.abs(a.diagonal())
-        off = np.abs(a - np.diag(a.diagonal()))
-        i, j = np.unravel_index(off.argmax(), off.shape)
-        k = int(diagonal.argmax())
-        if max(diagonal[k], off[i, j]) == 0:
-            break
-        if diagonal[k] >= alpha * off[i, j]:
-            above += a[k, k] > 0
-            rest = np.delete(np.arange(len(a)), k)
-            a = a[np.ix_(rest, rest)] - np.outer(a[rest, k], a[k, rest] / a[k, k])
-        else:
-            # a block with a negative determinant: one eigenvalue on each side
-            above += 1
-            rest = np.delete(np.arange(len(a)), [i, j])
-            side = a[np.ix_(rest, [i, j])]
-            a = a[np.ix_(rest, rest)] - side @ np.linalg.solve(a[np.ix_([i, j], [i, j])], side.T)
-        a = (a + a.T) / 2
-    return int(above)
-
-
-def feast(matrix: np.ndarray, low: float, high: float, count: int, points: int = 8, rounds: int = 60,
+def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonal and off-diagonal of an orthogonally similar matrix, by Householder reflections."""
+    a = np.array(matrix, float)
+    n = len(a)
+    for k in range(n - 2):
+        v = a[k + 1:, k].copy()
+        size = np.linalg.norm(v)
+        if size == 0:
+            continue
+        v[0] += math.copysign(size, v[0])
+        v /= np.linalg.norm(v)
+        p = a[k + 1:, k + 1:] @ v
+        w = p - (v @ p) * v
+        a[k + 1:, k + 1:] -= 2 * (np.outer(v, w) + np.outer(w, v))
+        a[k + 1:, k] = a[k, k + 1:] = 0
+        a[k + 1, k] = a[k, k + 1] = -math.copysign(size, v[0])
+    return a.diagonal().copy(), a.diagonal(1).copy()
+
+
+def inertia_above(bands: tuple[np.ndarray, np.ndarray], shifts: np.ndarray) -> np.ndarray:
+    """Number of eigenvalues above each shift: the positive pivots of the shifted factorisation (law of inertia)."""
+    main, off = bands
+    tiny = np.finfo(float).tiny ** 0.5
+    pivot = main[0] - shifts
+    above = (pivot > 0).astype(int)
+    for d, e in zip(main[1:], off):
+        pivot = d - shifts - e * e / np.where(pivot == 0, -tiny, pivot)
+        above += pivot > 0
+    return above
+
+
+def feast(matrix: np.ndarray, low: float, high: float, count: int, points: int = 8, rounds: int = 40,
           seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The ``count`` eigenvalues in (low, high), falling, and their unit eigenvectors as columns.
 
     Gauss-Legendre points on the upper half of the circle through the ends; the lower half is their
-    conjugate. Raises if the iteration doesn't find ``count`` eigenpairs.
+    conjugate. The subspace grows until the residuals are those of rounding; a whole space always is enough.
     """
+    n, size = len(matrix), 2 * count + 4
+    while True:
+        found = _subspace(matrix, low, high, count, min(n, size), points, rounds, seed)
+        if found is not None:
+            return found
+        if size >= n:
+            raise ArithmeticError(f"{count} eigenvalues lie in ({low}, {high}), which the contour did not resolve")
+        size *= 2
+
+
+def _subspace(matrix: np.ndarray, low: float, high: float, count: int, size: int, points: int, rounds: int,
+              seed: int) -> tuple[np.ndarray, np.ndarray] | None:
     n = len(matrix)
-    size = min(n, count + max(4, count))
     y = np.random.default_rng(seed).standard_normal((n, size))
     nodes, weights = np.polynomial.legendre.leggauss(points)
     angle = math.pi * (1 - nodes) / 2
@@ -86,9 +99,7 @@ def feast(matrix: np.ndarray, low: float, high: float, count: int, points: int =
                 break  # as near as doubles allow
             if best is None or off < best[0]:
                 best = off, values[inside], found / np.linalg.norm(found, axis=0)
-    if best is None or best[0] > 1e-10:
-        raise ArithmeticError(f"{count} eigenvalues lie in ({low}, {high}), which the contour did not resolve")
-    return best[1], best[2]
+    return None if best is None or best[0] > 1e-10 else best[1:]
 
 
 def components(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,41 +109,28 @@ def components(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     wanted eigenvalues, and the count at that end is the number FEAST has to return.
     """
     n, trace = len(matrix), float(np.trace(matrix))
-    noise = max(trace, 0.0) * n * 1e-14
     if not trace > 0:
         return np.zeros(0), np.zeros((n, 0))
-    high = float(np.abs(matrix).sum(axis=1).max()) * 1.01  # no eigenvalue lies beyond a row's sum
-    floor = inertia_above(matrix, noise)
-    most = min(most, floor)
-    if floor == most:
-        low, count = noise, floor
-    else:
-        low, count = _gap_below(matrix, most, noise, high)
-    values, vectors = feast(matrix, low, high, count)
+    bands, noise = tridiagonal(matrix), trace * n * 1e-14
+    total = int(inertia_above(bands, np.array([noise]))[0])
+    most = min(most, total)
+    # halving by counts: the largest eigenvalue, and those around the end of the wanted ones
+    ranks = np.array([1, *range(most, min(3 * most + 4, total) + 1)])
+    a, b = np.full(len(ranks), noise), np.full(len(ranks), np.abs(matrix).sum(axis=1).max() * 1.01)
+    for _ in range(40):
+        c = (a + b) / 2
+        beyond = inertia_above(bands, c) >= ranks
+        a, b = np.where(beyond, c, a), np.where(beyond, b, c)
+    lower = np.append(a[2:], noise if ranks[-1] == total else a[-1])
+    best = int(((a[1:] - lower) / a[1:]).argmax())
+    low = (a[1 + best] + lower[best]) / 2
+    if a[1 + best] - lower[best] <= 1e-9 * a[1 + best]:
+        low = noise  # no gap to be seen: all of them
+    count = int(inertia_above(bands, np.array([low]))[0])
+    values, vectors = feast(matrix, low, b[0] + (b[0] - low) * 0.05, count)
     return values[:most], vectors[:, :most]
 
 
-def _gap_below(matrix: np.ndarray, most: int, noise: float, high: float) -> tuple[float, int]:
-    """A shift in a gap below the ``most`` largest eigenvalues, as wide as the next few offer, and the count above it."""
-    def edge(k: int) -> tuple[float, float]:
-        """An interval around the k-th largest eigenvalue, narrow against its size."""
-        a, b = noise, high
-        while b - a > 1e-4 * b:
-            c = (a + b) / 2
-            a, b = (c, b) if inertia_above(matrix, c) >= k else (a, c)
-        return a, b
-    total = inertia_above(matrix, noise)
-    edges = [edge(k) for k in range(most, min(2 * most + 2, total) + 1)]
-    if len(edges) == total - most + 1:
-        edges.append((0.0, noise))
-    # beyond eigenvalues so close that the gap can't be seen, the next gap is taken
-    a, b = max(zip(edges, edges[1:]), key=lambda p: (p[0][0] - p[1][1]) / p[0][0])
-    if a[0] <= b[1]:
-        return noise, total
-    low = (a[0] + b[1]) / 2
-    return low, inertia_above(matrix, low)
-
-
 # ---------------------------------------------------------------- vectors
 def _blocks(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:

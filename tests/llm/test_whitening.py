@@ -14,7 +14,7 @@ def symmetric(values, seed=0):
     return (m + m.T) / 2
 
 
-@pytest.mark.parametrize("values", [[5, 4, 3, 2, 1, 0.5], [9, 9 - 1e-3, 1, 1, 1, 1, 0, 0], [1e6, 1, 1e-6, 0, 0], list(np.linspace(1, 2, 64)), [0, 0, 0], [3]])
+@pytest.mark.parametrize("values", [[5, 4, 3, 2, 1, 0.5], [9, 9 - 1e-3, 1, 1, 1, 1, 0, 0], [1e6, 1, 1e-6, 0, 0], list(np.linspace(1, 2, 64)), list(np.linspace(1, 1.01, 200)), [7] * 9, [2, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1], [0, 0, 0], [3]])
 def test_components(values):
     m = symmetric(values)
     got, vectors = whitening.components(m, 4)
@@ -28,12 +28,13 @@ def test_components(values):
 
 
 def test_inertia():
+    shifts = np.array([-2.5, -0.5, 0.5, 2.5])
     for seed in range(30):
-        m = symmetric(np.random.default_rng(seed).integers(-3, 4, 9).astype(float), seed)
-        for shift in (-2.5, -0.5, 0.5, 2.5):
-            assert whitening.inertia_above(m, shift) == int((np.linalg.eigvalsh(m) > shift).sum())
-    assert whitening.inertia_above(np.array([[0.0, 1.0], [1.0, 0.0]]), 0.0) == 1
-    assert whitening.inertia_above(np.zeros((3, 3)), 0.0) == 0
+        m = symmetric(np.random.default_rng(seed).integers(-3, 4, 1 + seed % 9).astype(float), seed)
+        wanted = [(np.linalg.eigvalsh(m) > s).sum() for s in shifts]
+        assert whitening.inertia_above(whitening.tridiagonal(m), shifts).tolist() == wanted
+    for m in (np.array([[0.0, 1.0], [1.0, 0.0]]), np.zeros((3, 3)), np.diag([1.0, 0.0, -1.0])):
+        assert whitening.inertia_above(whitening.tridiagonal(m), np.array([1e-9]))[0] == (np.linalg.eigvalsh(m) > 1e-9).sum()
 
 
 def brute(rows, most=4):
