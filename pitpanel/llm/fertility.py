@@ -207,7 +207,7 @@ def quality(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent`` of them in
     repeated five-word windows. Otherwise a document is kept unless a measure lies outside the band of
-    its language and length (``bands``); rows without a language are compared with those of their script.
+    its language and length (``bands``), which come from the rows that pass the base rules; rows without a language are compared with those of their script.
     Every text with words is judged, whatever its length and its language's number of documents.
     ``entropy_excess`` is what the token entropy has beyond the one its length predicts, and is judged
     under the reason entropy; ``entropy`` is the share of the most its length allows. The share of byte
@@ -223,17 +223,19 @@ def quality(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         .withColumn("entropy", F.coalesce(F.col("token_entropy") / F.greatest(log, F.lit(1.0)), F.lit(0.0)))
         .withColumn("log_tokens", log).withColumn("length_class", F.floor("log_tokens").cast("int"))
         .withColumn("group", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"))))
-    measured = stats.where("n_tokens > 0")
+    base = F.when(F.col("n_words") < min_words, "few_words").when(
+        100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"), "repeated_words")
+    # rows that fail the base rules say nothing about usual texts
+    stats = stats.withColumn("base", base)
+    measured = stats.where("n_tokens > 0 AND base IS NULL")
     expected = F.lit(0.0)
     for c in reversed(expected_entropy(measured)):
         expected = expected * F.col("log_tokens") + F.lit(c)
     stats = stats.withColumn("entropy_excess", F.coalesce(F.col("token_entropy") - expected, F.lit(0.0)))
-    band = materialize(bands(stats.where("n_tokens > 0"), spread, prior))
+    band = materialize(bands(stats.where("n_tokens > 0 AND base IS NULL"), spread, prior))
     # one row per language, script and length class; adaptive joins size it
     judged = stats.join(band, ["group", "script", "length_class"], "left")
-    base = F.when(F.col("n_words") < min_words, "few_words").when(
-        100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"), "repeated_words")
-    verdict = base
+    verdict = F.when(F.col("base").isNotNull(), F.col("base"))
     for m in JUDGED:
         out = F.col(m) > F.col(f"{m}_high")
         if m == "fallback_share":
@@ -241,7 +243,7 @@ def quality(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         else:
             out = out | (F.col(m) < F.col(f"{m}_low"))
         verdict = verdict.when(out, "entropy" if m == "entropy_excess" else m)
-    return (judged.withColumn("base_failed", base.isNotNull()).withColumn("reason", verdict)
+    return (judged.withColumn("base_failed", F.col("base").isNotNull()).withColumn("reason", verdict)
             .withColumn("kept", F.col("reason").isNull())
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                     "reason", "lang", "script", "n_tokens", *MEASURES, "entropy_excess"))
