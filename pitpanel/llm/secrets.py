@@ -127,8 +127,10 @@ def postings(rows: DataFrame, trigrams: list[str], row_col: str = "_row", text_c
 def candidates(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
     """at, kinds: row number plus one and the rules whose query it meets."""
     wanted = [(k, i, t, len(c)) for k, q in queries.items() for i, c in enumerate(sorted(map(sorted, q))) for t in c]
-    clauses = index.sparkSession.createDataFrame(wanted, "kind string, clause int, trigram string, need int")
+    named = ("kind", "clause", "trigram", "need")
+    each = [F.struct(*[F.lit(v).alias(k) for k, v in zip(named, row)]) for row in wanted]
     # a row per trigram of a rule: its size is fixed by the rules
+    clauses = index.sparkSession.range(1).select(F.inline(F.array(*each)))
     met = (index.join(F.broadcast(clauses), "trigram").groupBy("kind", "clause", "need", "bucket")
            .agg(F.bitmap_and_agg("docs").alias("docs"), F.count("*").alias("n")).where("n = need"))
     either = met.groupBy("kind", "bucket").agg(F.bitmap_or_agg("docs").alias("docs"))
