@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pitpanel.functions.columns import clip_finite, entry_fill, exit_fill, floor_to, safe_div
 from pitpanel.params import DAY, DEFAULTS, Params
 from pitpanel.plans.asof import asof_join
+from pitpanel.plans.extrema import first_crossing, pyramid
 from pitpanel.plans.intervals import interval_join
+from pitpanel.session import materialize
 
 ID = ["entity", "t"]
 
@@ -46,16 +48,15 @@ def queued_exits(cands: DataFrame, signals: DataFrame, rounds: DataFrame,
 
 
 def first_touch(cands: DataFrame, bars: DataFrame, signals: DataFrame, rounds: DataFrame,
-                p: Params = DEFAULTS, bucket_ms: int | None = None) -> DataFrame:
+                p: Params = DEFAULTS, fan: int = 16) -> DataFrame:
     """Entry, exit, reason and net result of each candidate on its own.
 
     Entry at the open of the bar at ``t`` (none: cancelled). Stop and target are live from the
     entry bar; in one bar the stop comes first. A queued exit fills at the open of the next
-    existing bar, unless that open is already beyond the stop. The bars of a holding window
-    come from a bucketed interval join whose upper end is the actual fill bar, so a gap in the
-    data only lengthens the window.
+    existing bar, unless that open is already beyond the stop. The first bar that reaches a limit
+    is searched in a pyramid of lows and highs with ``fan`` blocks per node, so a candidate that
+    is never filled costs no more than any other, whatever is left of its series.
     """
-    width = bucket_ms or max(DAY, p.coarse_ms)
     queued = queued_exits(cands.select("entity", "t", "side", "rank", "r_dist"), signals, rounds, p)
     o = bars.select("entity", F.col("ts").alias("t"), F.col("open").alias("_o"))
     entered = (queued.join(o, ID, "left")
@@ -68,19 +69,19 @@ def first_touch(cands: DataFrame, bars: DataFrame, signals: DataFrame, rounds: D
         F.min("ts").alias("fill_t"), F.min_by("open", "ts").alias("fill_open"))
     filled = asof_join(entered, first_bars, ["entity"], "queue_t", "_win", ["fill_t", "fill_open"],
                        inclusive=True, direction="forward", bucket_ms=30 * DAY)
-    last = bars.groupBy("entity").agg(F.max("ts").alias("_last"))
-    held = (filled.join(last, "entity", "left").filter(F.col("entry_fill").isNotNull())
-            .withColumn("_hi", F.coalesce(F.col("fill_t") - 1, F.col("_last")))
-            .select(*ID, "side", "stop", "target", F.col("t").alias("_lo"), "_hi"))
     is_long = F.col("side") > 0
-    hit_stop = F.when(is_long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    hit_target = F.when(is_long, F.col("high") >= F.col("target")).otherwise(
-        F.col("low") <= F.col("target"))
-    touch = (interval_join(held, bars.select("entity", "ts", "open", "high", "low"), ["entity"],
-                           "_lo", "_hi", "ts", width, residual=hit_stop | hit_target)
-             .groupBy(*ID).agg(F.min_by(F.struct(
-                 F.col("ts").alias("ts"), F.col("open").alias("open"), hit_stop.alias("stop"),
-                 (hit_stop & hit_target).alias("both")), "ts").alias("_x")))
+    held = filled.filter(F.col("entry_fill").isNotNull()).select(
+        *ID, "side", "stop", "target", "fill_t", F.when(is_long, F.col("stop")).otherwise(F.col("target")).alias("_floor"),
+        F.when(is_long, F.col("target")).otherwise(F.col("stop")).alias("_ceil"))
+    held = materialize(held.withColumn("_lo", F.col("t")))
+    tower = pyramid(bars, ["entity"], "ts", "low", "high", ["open"], p.fine_ms, fan)
+    hit = first_crossing(held, tower, ID, "_lo", "_floor", "_ceil")
+    low, high = F.col("hit.low"), F.col("hit.high")
+    at_stop = F.when(is_long, low <= F.col("stop")).otherwise(high >= F.col("stop"))
+    at_target = F.when(is_long, high >= F.col("target")).otherwise(low <= F.col("target"))
+    touch = (held.join(hit, ID).filter(F.col("fill_t").isNull() | (F.col("hit.id") < F.col("fill_t")))
+             .select(*ID, F.struct(F.col("hit.id").alias("ts"), F.col("hit.open").alias("open"), at_stop.alias("stop"),
+                                   (at_stop & at_target).alias("both")).alias("_x")))
     ref = F.when(is_long, F.least("stop", F.col("_x.open"))).otherwise(
         F.greatest("stop", F.col("_x.open")))
     gap = F.when(is_long, F.col("fill_open") <= F.col("stop")).otherwise(

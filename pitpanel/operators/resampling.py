@@ -96,42 +96,82 @@ def rotation_offsets(df: DataFrame, t: str, reps: int, seed: int,
     return picks.join(placed, "_k").select("rep", "j", "shift")
 
 
-def rotate_labels(df: DataFrame, order: list[str], t: str, y: str, offsets: DataFrame,
-                  bucket: Column, keep: list[str]) -> DataFrame:
-    """Label vector rotated by each replicate's shift: an equi-join of row positions, so the
-    multiset of labels is kept exactly. Output: ``rep, keep..., y``."""
-    placed = with_position(df, [], order, bucket, "_i")
-    n = df.select(F.count(F.lit(1))).scalar()
-    labels = placed.select(F.col("_i").alias("_src"), F.col(y).alias(y))
-    rows = placed.select("_i", *keep).withColumn("_n", n)
+def _chunks(placed: DataFrame, n: int, y: str, keep: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors of ``length`` rows by position, and of the labels of that stretch and the next one.
+
+    Labels wrap around, so any ``length`` labels in a row lie in the vector of their first one's chunk.
+    """
+    last = (n - 1) // length
+    rows = placed.groupBy(div("_i", length).alias("_c")).agg(
+        F.sort_array(F.collect_list(F.struct("_i", *keep))).alias("_rows"))
+    # a label stands wherever i + k n lies within the stretches, once in its own chunk and once in the one before
+    turns = F.sequence(F.lit(0), F.lit(((last + 2) * length - 1) // n))
+    at = placed.select(F.col(y).alias("_y"), F.explode(F.transform(turns, lambda k: F.col("_i") + k * n)).alias("_v"))
+    both = at.select("_y", "_v", F.explode(F.array(div("_v", length), div("_v", length) - 1)).alias("_q"))
+    labels = both.where((F.col("_q") >= 0) & (F.col("_q") <= last)).groupBy("_q").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_v", "_y"))), lambda x: x["_y"]).alias("_labels"))
+    return rows, labels
+
+
+def rotated_chunks(df: DataFrame, order: list[str], y: str, offsets: DataFrame, bucket: Column, keep: list[str],
+                   length: int = 1024) -> DataFrame:
+    """``rep, _rows, _ys``: stretches of ``length`` rows, and the labels each replicate's shift lays on them.
+
+    A replicate meets a stretch in one row of vectors, so replicates times rows over ``length`` are shuffled.
+    """
+    placed = materialize(with_position(df, [], order, bucket, "_i").select("_i", F.col(y).alias("_label"), *keep))
+    n = placed.count()
+    if not n:
+        n = 1
+    rows, labels = _chunks(placed, n, "_label", keep, length)
     # the offsets table has one small row per replicate and is attached by a literal array
     shifts = offsets.select(F.array_sort(F.collect_list(F.struct("rep", "shift")))).scalar()
+    start = F.pmod(F.col("_c") * length + F.col("_o.shift"), F.lit(n))
     spread = rows.withColumn("_s", shifts).withColumn("_o", F.explode("_s")).select(
-        *keep, F.col("_o.rep").alias("rep"),
-        F.pmod(F.col("_i") + F.col("_o.shift"), F.col("_n")).alias("_src"))
-    return spread.join(labels, "_src").select("rep", *keep, y)
+        F.col("_o.rep").alias("rep"), "_rows", div(start, length).alias("_q"), F.pmod(start, F.lit(length)).cast("int").alias("_at"))
+    return spread.join(labels, "_q").select("rep", "_rows", F.slice("_labels", F.col("_at") + 1, F.size("_rows")).alias("_ys"))
+
+
+def rotate_labels(df: DataFrame, order: list[str], t: str, y: str, offsets: DataFrame,
+                  bucket: Column, keep: list[str], length: int = 1024) -> DataFrame:
+    """Label vector rotated by each replicate's shift, so the multiset of labels is kept exactly.
+
+    Output: ``rep, keep..., y``, unpacked after the only join.
+    """
+    x = rotated_chunks(df, order, y, offsets, bucket, keep, length)
+    each = x.select("rep", F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_ys").alias("y"))).alias("_x"))
+    return each.select("rep", *[F.col("_x.r")[c].alias(c) for c in keep], F.col("_x.y").alias(y))
 
 
 def rotation_null(df: DataFrame, order: list[str], t: str, y: str, prob: str, score: str,
-                  offsets: DataFrame, bucket: Column) -> DataFrame:
+                  offsets: DataFrame, bucket: Column, length: int = 1024) -> DataFrame:
     """AUC of ``prob`` and rank correlation of ``score`` under every rotation: ``(rep, auc, ic)``.
 
     A rotation keeps all three multisets, so ranks are taken once on the original rows and the
-    rotated label carries its own rank: no replicate is ever ranked again.
+    rotated label carries its own rank. A replicate is a circular cross-correlation: dot products of
+    vectors, chunk by chunk. Scores without a difference have no correlation: 0.
     """
     ranked = df
     for c, r in dict.fromkeys(((prob, "_rp"), (score, "_rs"), (y, "_ry"))):
         ranked = ranked.join(mid_ranks(df, c).select(c, F.col("rank").alias(r)), c)
-    label = F.struct((F.col(y) > 0).cast("int").alias("pos"), F.col("_ry").alias("ry"))
-    x = rotate_labels(ranked.withColumn("_lab", label), order, t, "_lab",
-                      offsets, bucket, ["_rp", "_rs"])
-    pos = F.col("_lab.pos")
-    s = x.groupBy("rep").agg(F.sum(pos).alias("p"), F.count(F.lit(1)).alias("n"),
-                             F.sum(pos * F.col("_rp")).alias("r"), F.corr("_rs", "_lab.ry").alias("c"))
-    p = F.col("p").cast("double")
-    n = F.col("n") - p
-    return s.select("rep", F.try_divide(F.col("r") - p * (p + 1) / 2.0, p * n).alias("auc"),
-                    F.coalesce(F.nanvl("c", F.lit(0.0)), F.lit(0.0)).alias("ic"))
+    label = F.struct((F.col(y) > 0).cast("double").alias("pos"), F.col("_ry").alias("ry"))
+    ranked = materialize(ranked.withColumn("_lab", label))
+    # what no rotation changes; ranks are centred before they are multiplied
+    one = ranked.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_lab.pos").alias("p"), F.avg("_rs").alias("ms"),
+                     F.avg("_ry").alias("my"), F.var_pop("_rs").alias("vs"), F.var_pop("_ry").alias("vy"))
+    one = materialize(one)
+    centre = one.select(F.struct("ms", "my")).scalar()
+    x = rotated_chunks(ranked, order, "_lab", offsets, bucket, ["_rp", "_rs"], length).withColumn("_m", centre)
+
+    def dot(product):
+        return F.aggregate(F.zip_with("_rows", "_ys", product), F.lit(0.0), lambda a, v: a + v)
+    s = x.groupBy("rep").agg(F.sum(dot(lambda r, v: r["_rp"] * v["pos"])).alias("r"),
+                             F.sum(dot(lambda r, v: (r["_rs"] - F.col("_m.ms")) * (v["ry"] - F.col("_m.my")))).alias("c"))
+    s = s.withColumn("_one", one.select(F.struct("n", "p", "vs", "vy")).scalar())
+    n, p = F.col("_one.n"), F.col("_one.p")
+    spread = F.sqrt(F.col("_one.vs") * F.col("_one.vy"))
+    return s.select("rep", F.try_divide(F.col("r") - p * (p + 1) / 2.0, p * (n - p)).alias("auc"),
+                    F.when(spread > 0, F.col("c") / n / spread).otherwise(0.0).alias("ic"))
 
 
 def block_permute(df: DataFrame, order: list[str], t: str, y: str, reps: int, seed: int,
@@ -154,16 +194,47 @@ def block_permute(df: DataFrame, order: list[str], t: str, y: str, reps: int, se
     return target.join(src, ["_src_t", "_m"]).select("rep", *keep, y)
 
 
+#: rounds of the permutation network; each sums a keyed draw of one half into the other
+ROUNDS = 6
+#: steps an index outside the domain is walked on. Such indices are fewer than the root of n and a walk
+#: never meets one twice, so it ends within them for n up to 4,096; above, 64 in a row don't happen
+WALK = 64
+
+
+def permuted(i: Column, n: Column, rep: Column, seed: int, rounds: int = ROUNDS, walk: int = WALK) -> Column:
+    """Image of ``i`` under a bijection of [0, n) of its own for every ``rep``: a Feistel network on digits.
+
+    An index is split into two digits in base ``ceil(n / ceil(sqrt(n)))``; every round adds a draw keyed by
+    round, replicate and one digit to the other. What leaves [0, n) goes through the network again. Null
+    outside [0, n).
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
+    b = F.call_function("div", n + a - 1, a)
+
+    def step(x, k):
+        high, low = F.call_function("div", x, b), F.pmod(x, b)
+        # the round numbers the key: even rounds change the high digit
+        even = F.pmod(high + draw(seed, rep * rounds + k, low), a) * b + low
+        return F.when(F.pmod(k, F.lit(2)) == 0, even).otherwise(high * b + F.pmod(low + draw(seed, rep * rounds + k, high), b))
+
+    def network(x):
+        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), x, step)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(walk)), network(i), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return F.when((i >= 0) & (i < n), F.when(walked < n, walked).otherwise(F.raise_error(F.lit("walk too short")).cast("bigint")))
+
+
 def shuffle_permute(df: DataFrame, order: list[str], y: str, reps: int, seed: int, bucket: Column,
                     keep: list[str]) -> DataFrame:
-    """Plain label permutation. The target order of a replicate is the order of a hash of the
-    row position; positions are found in hash buckets, never in one window per replicate."""
-    placed = with_position(df, [], order, bucket, "_i")
-    drawn = placed.select("_i", replicates(reps).alias("rep")).withColumn("_h", draw(seed, "rep", "_i"))
-    perm = with_position(drawn, ["rep"], ["_h", "_i"], F.shiftright("_h", 16), "_src")
-    labels = placed.select(F.col("_i").alias("_src"), F.col(y).alias(y))
-    return (placed.select("_i", *keep).join(perm.select("rep", "_i", "_src"), "_i")
-            .join(labels, "_src").select("rep", *keep, y))
+    """Plain label permutation: the source position is computed from position and replicate.
+
+    Nothing is sorted per replicate; one join brings the labels.
+    """
+    placed = materialize(with_position(df, [], order, bucket, "_i").select("_i", F.col(y).alias("_label"), *keep))
+    n = F.lit(placed.count()).cast("bigint")
+    drawn = placed.select(*keep, "_i", replicates(reps).alias("rep"))
+    source = drawn.select("rep", *keep, permuted(F.col("_i"), n, F.col("rep"), seed).alias("_src"))
+    labels = placed.select(F.col("_i").alias("_src"), F.col("_label").alias(y))
+    return source.join(labels, "_src").select("rep", *keep, y)
 
 
 # ---------------------------------------------------------------- bootstrap

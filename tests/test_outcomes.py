@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import candidates, features, outcomes
 from pitpanel.params import DEFAULTS
 from pitpanel.plans.asof import asof_join
+from pitpanel.plans.extrema import climb, first_crossing, pyramid
 from tests.util import H4, M15, bars_df, fine_df
 
 P = replace(DEFAULTS, max_hold=4, half_spread=(0.0, 0.0), slippage=(0.0, 0.0), fee=0.0)
@@ -101,6 +102,31 @@ def _walk(bars, t, side, r, due, valid):
     return "still_open", None
 
 
+def test_first_crossing_reads_one_node_per_level(spark):
+    rng = random.Random(3)
+    rows = [(e, i * 10 + 5, rng.choice([None, 50 + rng.random()]), 50 + rng.random()) for e in "AB" for i in range(3000) if rng.random() < 0.9]
+    bars = spark.createDataFrame(rows, "entity string, ts bigint, low double, high double")
+    tower = pyramid(bars, ["entity"], "ts", "low", "high", [], 10, fan=4)
+    assert tower.levels == 6
+    asked = [(e, k, rng.randrange(-50, 31_000), rng.choice([None, 0.0, 50.001, 50.05]), rng.choice([None, 99.0, 50.999, 50.9]))
+             for k in range(150) for e in "ABC"]
+    s = spark.createDataFrame(asked, "entity string, k int, lo bigint, f double, c double")
+    got = {(r["entity"], r["k"]): r["hit"]["id"] for r in first_crossing(s, tower, ["entity", "k"], "lo", "f", "c").collect()}
+    want = {}
+    for e, k, lo, f, c in asked:
+        hits = [t for x, t, low, high in rows if x == e and t >= lo and
+                ((f is not None and low is not None and low <= f) or (c is not None and high >= c))]
+        if hits:
+            want[e, k] = min(hits)
+    assert got == want and len(want) > 100
+    # logarithmic: a node of at most fan children per level on the way up, and as many down
+    up = climb(s.selectExpr("entity", "k", "lo", "f AS floor", "c AS ceil"), tower, ["entity", "k"], "lo").groupBy("entity", "k").count()
+    assert up.agg(F.max("count")).first()[0] <= tower.levels
+    assert tower.nodes.agg(F.max(F.size("children"))).first()[0] <= 4
+    none = pyramid(bars.limit(0), ["entity"], "ts", "low", "high", [], 10)
+    assert first_crossing(s, none, ["entity", "k"], "lo", "f", "c").collect() == []
+
+
 def test_random_walks_match(spark):
     rng = random.Random(11)
     price, bars = 100.0, []

@@ -121,6 +121,50 @@ def test_permutations_keep_structure(spark):
     assert block.count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 64, 97, 1000, 4099])
+def test_permutation_is_a_bijection(spark, n):
+    reps = 200 if n <= 97 else 5
+    x = spark.range(n).crossJoin(spark.range(reps).withColumnRenamed("id", "rep"))
+    out = x.select("rep", "id", rs.permuted(F.col("id"), F.lit(n), F.col("rep"), 9).alias("to")).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["rep"], {})[r["id"]] = r["to"]
+    assert len(by) == (reps if n else 0) and all(sorted(m.values()) == list(range(n)) for m in by.values())
+    if n >= 64:
+        assert len({tuple(sorted(m.items())) for m in by.values()}) == reps
+        fixed = sum(k == v for m in by.values() for k, v in m.items())
+        assert fixed < 4 * reps  # one is expected in each
+    if n == 10:
+        # every place goes everywhere about equally often
+        hits = [sum(m[k] == v for m in by.values()) for k in range(n) for v in range(n)]
+        assert min(hits) >= 5 and max(hits) <= 45
+
+
+@pytest.mark.parametrize("length", [1, 7, 50, 1024])
+def test_rotation_by_chunks_of_any_length(spark, length):
+    df, rows = _labels(spark)
+    df = df.withColumn("s", F.pmod(F.col("key") * 7, F.lit(5)).cast("double")).withColumn("y", F.pmod(F.col("key") * 11, F.lit(7)) - 3.0)
+    n = len(rows)
+    shifts = {0: 0, 1: 1, 2: n - 1, 3: n // 2, 4: n + 5}
+    offs = spark.createDataFrame([(r, s) for r, s in shifts.items()], "rep bigint, shift bigint")
+    y = [k * 11 % 7 - 3.0 for k in range(n)]
+    s = [float(k * 7 % 5) for k in range(n)]
+    moved = rs.rotate_labels(df, ["t", "key"], "t", "y", offs, time_bucket("t", 9 * DAY), ["key"], length)
+    got = {(r["rep"], r["key"]): r["y"] for r in moved.collect()}
+    assert got == {(r, i): y[(i + k) % n] for r, k in shifts.items() for i in range(n)}
+    # rows that meet in the join: replicates times chunks
+    chunks = rs.rotated_chunks(df, ["t", "key"], "y", offs, time_bucket("t", 9 * DAY), ["key"], length)
+    assert chunks.count() == len(shifts) * -(-n // length)
+    null = {r["rep"]: r for r in rs.rotation_null(df, ["t", "key"], "t", "y", "s", "s", offs, time_bucket("t", 9 * DAY), length).collect()}
+    rank_s, rank_y = _mid(s), _mid(y)
+    for r, k in shifts.items():
+        pos = [y[(i + k) % n] > 0 for i in range(n)]
+        auc = (sum(a for a, b in zip(rank_s, pos) if b) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (n - sum(pos)))
+        assert abs(null[r]["auc"] - auc) < 1e-9
+        import numpy as np
+        assert abs(null[r]["ic"] - np.corrcoef(rank_s, [rank_y[(i + k) % n] for i in range(n)])[0, 1]) < 1e-9
+
+
 def test_block_draws_are_circular_and_exact(spark):
     out = {}
     for r in rs.block_draws(50, 8, 20, 3, spark).collect():
