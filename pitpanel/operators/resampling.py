@@ -6,7 +6,6 @@ per time step, so bounded by the calendar) and every statistic is a grouped aggr
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -206,7 +205,8 @@ def permuted(i: Column, n: Column, rep: Column, seed: int, rounds: int = ROUNDS,
 
     An index is split into two digits in base ``ceil(n / ceil(sqrt(n)))``; every round adds a draw keyed by
     round, replicate and one digit to the other. What leaves [0, n) goes through the network again. Null
-    outside [0, n).
+    outside [0, n). One folded expression: as columns of their own the rounds would be multiplied out
+    by every filter that is pushed through them.
     """
     a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
     b = F.call_function("div", n + a - 1, a)
@@ -219,8 +219,12 @@ def permuted(i: Column, n: Column, rep: Column, seed: int, rounds: int = ROUNDS,
 
     def network(x):
         return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), x, step)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(walk)), network(i), lambda x, _: F.when(x < n, x).otherwise(network(x)))
-    return F.when((i >= 0) & (i < n), F.when(walked < n, walked).otherwise(F.raise_error(F.lit("walk too short")).cast("bigint")))
+
+    def inside(x):
+        return F.when(x < n, x).otherwise(F.aggregate(
+            F.sequence(F.lit(1), F.lit(walk)), x, lambda v, _: F.when(v < n, v).otherwise(network(v)),
+            lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("walk too short")).cast("bigint"))))
+    return F.when((i >= 0) & (i < n), F.get(F.transform(F.array(network(i)), inside), 0))
 
 
 def shuffle_permute(df: DataFrame, order: list[str], y: str, reps: int, seed: int, bucket: Column,
@@ -230,8 +234,9 @@ def shuffle_permute(df: DataFrame, order: list[str], y: str, reps: int, seed: in
     Nothing is sorted per replicate; one join brings the labels.
     """
     placed = materialize(with_position(df, [], order, bucket, "_i").select("_i", F.col(y).alias("_label"), *keep))
+    # the rows are few against their replicates: dealt out again before they multiply
+    drawn = placed.repartition("_i").select(*keep, "_i", replicates(reps).alias("rep"))
     n = F.lit(placed.count()).cast("bigint")
-    drawn = placed.select(*keep, "_i", replicates(reps).alias("rep"))
     source = drawn.select("rep", *keep, permuted(F.col("_i"), n, F.col("rep"), seed).alias("_src"))
     labels = placed.select(F.col("_i").alias("_src"), F.col("_label").alias(y))
     return source.join(labels, "_src").select("rep", *keep, y)

@@ -77,7 +77,7 @@ def _(spark, sf):
     return rs.time_blocks(x, "t", F.col("_a")).select("doc_id", "t", "block")
 
 
-REPS, SEED = 40, 20260903
+REPS, SEED = 200, 20260903
 OFFS = f"""bt AS (SELECT t, count(*) AS c FROM s GROUP BY 1), bo AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS j,
   sum(c) OVER (ORDER BY t) - c AS shift, min(t) OVER () AS a, max(t) OVER () AS b FROM bt),
   be AS (SELECT j, t, shift::BIGINT AS shift, row_number() OVER (ORDER BY t) - 1 AS k FROM bo WHERE t - a >= {28 * DAY}
@@ -107,27 +107,42 @@ def _(spark, sf):
 @query("block_permute", f"""WITH {SC}, b AS (SELECT t, count(*) AS c, row_number() OVER (ORDER BY t) - 1 AS slot,
   (t - min(t) OVER ()) // {28 * DAY} AS blk FROM s GROUP BY t),
   q AS (SELECT rep, t AS st, c, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(7, 'rep', 'blk')}, blk, t) - 1 AS slot
-  FROM b, range(10) g(rep)),
+  FROM b, range({REPS}) g(rep)),
   r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) - 1 AS rk FROM s)
   SELECT q.rep, r.doc_id, l.y FROM r JOIN b ON b.t = r.t JOIN q ON q.slot = b.slot
   JOIN r l ON l.t = q.st AND l.rk = r.rk % q.c""")
 def _(spark, sf):
     x = materialize(timed(spark, sf))
-    return rs.block_permute(x, ["doc_id"], "t", "y", 10, 7, ["doc_id"]).select("rep", "doc_id", "y")
+    return rs.block_permute(x, ["doc_id"], "t", "y", REPS, 7, ["doc_id"]).select("rep", "doc_id", "y")
 
 
-@query("shuffle_permute", f"""WITH {SC}, h AS (SELECT rep, i, row_number() OVER (PARTITION BY rep ORDER BY
-  {draw_sql(11, 'rep', 'i')}, i) - 1 AS src FROM s, range(10) g(rep))
+def network_sql(source: str, seed: int) -> str:
+    """``rep, i, n, a, b, x`` with x after one pass through the permutation network."""
+    inner = f"SELECT rep, i, n, a, b, x // b AS h, x % b AS l FROM {source}"
+    for k in range(rs.ROUNDS):
+        moved, fixed, base = ("h", "l", "a") if k % 2 == 0 else ("l", "h", "b")
+        inner = f"SELECT * REPLACE (({moved} + {draw_sql(seed, f'(rep * {rs.ROUNDS} + {k})', fixed)}) % {base} AS {moved}) FROM ({inner})"
+    return f"SELECT rep, i, n, a, b, h * b + l AS x FROM ({inner})"
+
+
+def permuted_sql(seed: int, reps: int) -> str:
+    """CTEs ending in ``h``: rep, i and the source position of every row of ``s``."""
+    return f"""g0 AS (SELECT rep, i, n, i AS x, a, (n + a - 1) // a AS b FROM (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM s),
+  range({reps}) g(rep)), wk AS ({network_sql('g0', seed)} UNION ALL {network_sql('wk WHERE x >= n', seed)}),
+  h AS (SELECT rep, i, x AS src FROM wk WHERE x < n)"""
+
+
+@query("shuffle_permute", f"""WITH RECURSIVE {SC}, {permuted_sql(11, REPS)}
   SELECT rep, r.doc_id, l.y FROM h JOIN s r ON r.i = h.i JOIN s l ON l.i = h.src""")
 def _(spark, sf):
     x = materialize(timed(spark, sf))
     x = with_time_key_bucket(x, "t", "doc_id")
-    return rs.shuffle_permute(x, ["t", "doc_id"], "y", 10, 11, F.col("_tk"), ["doc_id"]) \
+    return rs.shuffle_permute(x, ["t", "doc_id"], "y", REPS, 11, F.col("_tk"), ["doc_id"]) \
         .select("rep", "doc_id", "y")
 
 
 # ---------------------------------------------------------------- curves on a weekly grid
-WEEK, L, R = 7 * DAY, 8, 100
+WEEK, L, R = 7 * DAY, 8, 1000
 WEEKLY = f"""w0 AS (SELECT o_orderpriority AS arm, epoch_us(o_orderdate) // 1000 // {WEEK} AS wk,
   round(coalesce(sum(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN -1.0 END * o_totalprice), 0) / 1e8, 10) AS r
   FROM orders GROUP BY 1, 2),
@@ -269,7 +284,7 @@ def _(spark, sf):
         r6("critical", "critical", 9), r6("se", "se", 9), r6("power", "power"))
 
 
-BOOTS = 40
+BOOTS = 1000
 VERDICT = f"""{NULLS}, ub AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM (SELECT DISTINCT t FROM s)),
   one AS (SELECT count(*) AS u, greatest(1, ceil(count(*) * 28 / greatest((max(t) - min(t)) / {DAY}, 28)))::BIGINT AS l FROM ub),
   vst AS (SELECT rep, b, {draw_sql(SEED + 1, 'rep', 'b')} % u AS start, u, l FROM one, range({BOOTS}) g(rep),
