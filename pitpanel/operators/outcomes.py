@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitpanel.functions.columns import clip_finite, entry_fill, exit_fill, floor_to, safe_div
+from pitpanel.functions.columns import by_tier, clip_finite, entry_fill, exit_fill, floor_to, safe_div
 from pitpanel.params import DAY, DEFAULTS, Params
 from pitpanel.plans.asof import asof_join
 from pitpanel.plans.extrema import first_crossing, pyramid
@@ -106,24 +106,27 @@ def first_touch(cands: DataFrame, bars: DataFrame, signals: DataFrame, rounds: D
     return out.withColumn("net_r", (gross - fees) / F.col("r_dist"))
 
 
+def rate_marks(rates: DataFrame, bars: DataFrame) -> DataFrame:
+    """``entity, ts, rate, mark``: each rate with the last close strictly before its time, or its
+    bar's own open where there is no earlier close. One lookup per rate, whoever holds it."""
+    closes = bars.select("entity", F.col("ts").alias("_bar"), F.col("close").alias("_close"))
+    marked = asof_join(rates.select("entity", "ts", "rate"), closes, ["entity"], "ts", "_bar", ["_close"], bucket_ms=30 * DAY)
+    opens = bars.select("entity", "ts", F.col("open").alias("_open"))
+    return marked.join(opens, ["entity", "ts"], "left").select("entity", "ts", "rate", F.coalesce("_close", "_open").alias("mark"))
+
+
 def rate_accrual(positions: DataFrame, rates: DataFrame, bars: DataFrame,
                  p: Params = DEFAULTS) -> DataFrame:
     """Paid rates of each position over ``(entry_t, exit_t]`` on the rate grid.
 
-    The mark is the last close strictly before the rate time, or that bar's own open where
-    there is no earlier close; an absent rate is counted, never filled.
+    An absent rate is counted, never filled. Marks come from ``rate_marks``, shared by all positions.
     """
     step = p.rate_ms
     first = floor_to(F.col("entry_t"), step) + step
     last = floor_to(F.col("exit_t"), step)
     grid = (positions.filter(first <= last).withColumn(
         "ts", F.explode(F.sequence(first, last, F.lit(step).cast("bigint")))))
-    rated = grid.join(rates.select("entity", "ts", "rate"), ["entity", "ts"], "left")
-    closes = bars.select("entity", F.col("ts").alias("_bar"), F.col("close").alias("_close"))
-    marked = asof_join(rated, closes, ["entity"], "ts", "_bar", ["_close"], bucket_ms=30 * DAY)
-    opens = bars.select("entity", "ts", F.col("open").alias("_open"))
-    marked = marked.join(opens, ["entity", "ts"], "left").withColumn(
-        "mark", F.coalesce("_close", "_open"))
+    marked = grid.join(rate_marks(rates, bars), ["entity", "ts"], "left")
     paid = F.col("rate") * F.col("qty") * F.col("mark") * F.col("side")
     sums = marked.groupBy("entity", "t").agg(
         F.count("rate").alias("applied"), F.count_if(F.col("rate").isNull()).alias("missing"),
@@ -135,12 +138,21 @@ def rate_accrual(positions: DataFrame, rates: DataFrame, bars: DataFrame,
 
 
 def episode_windows(labels: DataFrame, bars: DataFrame, end: int, p: Params = DEFAULTS,
-                    bucket_ms: int = DAY) -> DataFrame:
+                    bucket_ms: int = DAY, marks: DataFrame | None = None) -> DataFrame:
     """Fine bars of every executed label from the bar after ``t`` to one coarse bar past the
-    exit; an episode without bars disappears."""
+    exit; an episode without bars disappears.
+
+    Labels with a ``rank`` get the ``half_spread, slip, fee`` of their cost tier; with ``marks``
+    (of ``rate_marks``) bars at a rate time get its ``rate`` and ``mark``, others NULL.
+    """
     spans = labels.filter("exit_t is not null").withColumns({
         "_lo": F.col("t") + p.fine_ms,
         "_hi": F.least(F.col("exit_t") + p.coarse_ms, F.lit(end))})
+    if "rank" in labels.columns:
+        spans = spans.withColumns({"half_spread": by_tier("rank", p.half_spread, p), "slip": by_tier("rank", p.slippage, p),
+                                   "fee": F.lit(p.fee)})
+    if marks is not None:
+        bars = bars.join(marks, ["entity", "ts"], "left")
     return interval_join(spans, bars, ["entity"], "_lo", "_hi", "ts", bucket_ms).drop("_lo", "_hi")
 
 

@@ -37,6 +37,37 @@ def max_drawdown(df: DataFrame, by: list[str], t: str, value: str, mode: str = "
     return peak.groupBy(*by).agg(out) if by else peak.agg(out)
 
 
+def path_summary(df: DataFrame, by: list[str], t: str, value: str, bucket: Column) -> DataFrame:
+    """Summaries of consecutive stretches of a path of increments: ``by, bucket, total, top``.
+
+    ``top`` is the highest level inside a stretch, counted from its start. Two neighbours merge to
+    ``(total + total', greatest(top, total + top'))``, so stretches may be summed up in any grouping.
+    """
+    inside = W.partitionBy(*by, "_bucket").orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    level = df.withColumn("_bucket", bucket).withColumn("_in", F.sum(value).over(inside))
+    return level.groupBy(*by, "_bucket").agg(F.sum(value).alias("total"), F.max("_in").alias("top"))
+
+
+def drawdown_quantile(df: DataFrame, by: list[str], t: str, value: str, q: float = 0.95,
+                      bucket_ms: int = 30 * DAY) -> DataFrame:
+    """Exact quantile over a path's steps of how far its cumulative sum lies below its peak.
+
+    The peak is floored at zero, as the path starts there. ``(by, t)`` is unique; steps without a value
+    are left out, and a path without any has no row. Only the table of stretches is scanned per path.
+    """
+    steps = df.filter(F.col(value).isNotNull())
+    bucket = time_bucket(t, bucket_ms)
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = path_summary(steps, by, t, value, bucket).withColumn("_base", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    peak = F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("top")).over(before))
+    carried = base.withColumn("_peak", peak).select(*by, "_bucket", "_base", "_peak")
+    inside = W.partitionBy(*by, "_bucket").orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    level = (steps.withColumn("_bucket", bucket).join(carried, [*by, "_bucket"])
+             .withColumn("_level", F.col("_base") + F.sum(value).over(inside)))
+    depth = level.withColumn("_depth", F.greatest("_peak", F.max("_level").over(inside)) - F.col("_level"))
+    return exact_quantiles(depth.select(*by, "_depth"), "_depth", [q], by).select(*by, F.col("quantile").alias("drawdown"))
+
+
 def sortino_of(mean: Column, downside_sq: Column, periods: float = 1.0) -> Column:
     """Mean over downside deviation; without any downside 0 or a large constant."""
     dd = F.sqrt(downside_sq)

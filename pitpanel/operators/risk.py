@@ -97,33 +97,18 @@ def stage_funnel(df: DataFrame, top_k: int) -> DataFrame:
             .withColumn("multiplier", F.when(F.col("stage") == "submitted", mult)).drop("_rank"))
 
 
-def _fold(df: DataFrame, by: list[str], order: list[str], size: str, cap: Column, max_n: int,
-          min_size: float) -> DataFrame:
-    rows = df.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size")))).alias("_rows"),
-        F.first(cap).alias("_cap"))
-    start = F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("n"),
-                     F.array().cast("array<string>").alias("out"))
-
-    def step(acc, row):
-        fit = (F.when(row["_size"] < min_size, "min_notional")
-               .when(acc["n"] >= max_n, "max_positions")
-               .when(acc["used"] + row["_size"] > F.col("_cap"), "capacity").otherwise("admitted"))
-        yes = fit == "admitted"
-        return F.struct((acc["used"] + F.when(yes, row["_size"]).otherwise(0.0)).alias("used"),
-                        (acc["n"] + F.when(yes, 1).otherwise(0)).alias("n"),
-                        F.concat(acc["out"], F.array(fit)).alias("out"))
-    folded = rows.withColumn("_out", F.aggregate("_rows", start, step, lambda a: a["out"]))
-    return folded.select(*by, F.explode(F.arrays_zip("_rows", "_out")).alias("_z")).select(
-        *by, *[F.col("_z._rows")[c].alias(c) for c in order],
-        F.col("_z._rows._size").alias(size), F.col("_z._out").alias("outcome"))
-
-
-def _peel(df: DataFrame, by: list[str], order: list[str], size: str, cap: Column, max_n: int,
-          min_size: float) -> DataFrame:
-    """The same admission for rounds of any size: each pass finds the next admitted row with
-    one partial aggregate, so at most ``max_n`` passes and no collected group."""
-    key = F.struct(*order)
+def greedy_admit(df: DataFrame, by: list[str], order: list[str], size: str, cap: Column,
+                 max_n: int, min_size: float = 0.0) -> DataFrame:
+    """Admit rows of a round in order while count and capacity allow; a refused row consumes
+    nothing. Rows that repeat an order key follow each other by size; one without a size is
+    refused like one below ``min_size``.
+
+    Each pass finds the next admitted row of every round with one partial aggregate, so there are
+    at most ``max_n`` passes and no round is collected, whatever its size.
+    """
+    again = W.partitionBy(*by, *order).orderBy(F.col(size).asc_nulls_last())
+    df = df.withColumn("_again", F.row_number().over(again))
+    key = F.struct(*order, "_again")
     taken = df.groupBy(*by).agg(F.first(cap).alias("_cap")).select(
         *by, "_cap", F.array().cast(f"array<struct<k:{df.select(key).schema[0].dataType.simpleString()},"
                                     "s:double>>").alias("_adm"))
@@ -139,20 +124,12 @@ def _peel(df: DataFrame, by: list[str], order: list[str], size: str, cap: Column
             .otherwise(F.concat("_adm", F.array("_nx"))).alias("_adm"))
     rows = df.join(taken, by)
     earlier = F.filter("_adm", lambda x: x["k"] < key)
-    fit = (F.when(F.col(size) < min_size, "min_notional")
+    fit = (F.when(F.col(size).isNull() | (F.col(size) < min_size), "min_notional")
            .when(F.array_contains("_adm.k", key), "admitted")
            .when(F.size(earlier) >= max_n, "max_positions").otherwise("capacity"))
     return rows.select(*by, *order, size, fit.alias("outcome"))
 
 
-def greedy_admit(df: DataFrame, by: list[str], order: list[str], size: str, cap: Column,
-                 max_n: int, min_size: float = 0.0, fold_limit: int = 10_000) -> DataFrame:
-    """Admit rows of a round in order while count and capacity allow; a refused row consumes
-    nothing. Rounds proven small (one probe) are folded in place, larger ones peeled."""
-    big = df.groupBy(*by).count().filter(F.col("count") > fold_limit).take(1)
-    return (_peel if big else _fold)(df, by, order, size, cap, max_n, min_size)
-
-
 def stable_order(df: DataFrame, t: str, key: str, out: str = "seq") -> DataFrame:
     """Position of every row in the order ``(t, key)``, ``key`` a unique number within ``t``."""
     return with_position(with_time_key_bucket(df, t, key), [], [t, key], F.col("_tk"), out).drop("_tk")

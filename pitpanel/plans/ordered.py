@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from pitpanel.functions.columns import col, div
 
@@ -58,18 +59,25 @@ def running(df: DataFrame, by: list[str], order: list[str], bucket: Column,
 
     ``specs`` maps an output column to ``(kind, value)`` with kind in sum, count, max, min,
     last, first. ``order`` must be a total order within the group, and ``bucket`` must not
-    decrease along it. Group keys and buckets are expected to be defined; a row without one is
+    decrease along it; a struct without ``by`` is carried field by field. Group keys and buckets are expected to be defined; a row without one is
     kept but receives nothing from other buckets.
     """
     keyed = df.withColumn(_BUCKET, bucket)
     key = F.struct(*order)
     parts = keyed.groupBy(*by, _BUCKET).agg(
         *[_reduce(k, v, key).alias(f"_part_{out}") for out, (k, v) in specs.items()])
-    across = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(_BUCKET)
-    earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    carry = parts.select(*by, _BUCKET, *[
-        _carry_over(k, F.col(f"_part_{out}"), earlier).alias(f"_carry_{out}")
-        for out, (k, _) in specs.items()])
+    kind_of = keyed.schema[_BUCKET].dataType
+    if not by and isinstance(kind_of, StructType):
+        # buckets of buckets: one carry per leading field, so no task gets the whole bucket table
+        above = {f"_carry_{out}": ("sum" if k == "count" else k, F.col(f"_part_{out}")) for out, (k, _) in specs.items()}
+        carry = running(parts.withColumnRenamed(_BUCKET, "_lower"), [], ["_lower"], F.col("_lower")[kind_of.names[0]], above,
+                        exclusive=True).withColumnRenamed("_lower", _BUCKET).select(_BUCKET, *above)
+    else:
+        across = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(_BUCKET)
+        earlier = across.rowsBetween(W.unboundedPreceding, -1)
+        carry = parts.select(*by, _BUCKET, *[
+            _carry_over(k, F.col(f"_part_{out}"), earlier).alias(f"_carry_{out}")
+            for out, (k, _) in specs.items()])
     joined = keyed.join(carry, by + [_BUCKET], "left")
     within = W.partitionBy(*by, _BUCKET).orderBy(*order).rowsBetween(
         W.unboundedPreceding, -1 if exclusive else 0)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from pitpanel.functions.columns import month_of, normalize_epoch, on_grid
 from pitpanel.params import DEFAULTS
+from pitpanel.session import materialize
 
 # Column order of delimited bar files.
 BAR_CSV_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "close_time",
@@ -79,16 +80,32 @@ def read_bar_csv(spark: SparkSession, path, step: int = DEFAULTS.fine_ms) -> Dat
 
 
 def read_rate_csv(spark: SparkSession, path) -> DataFrame:
-    """Delimited rates with a known header; any other header is refused, also per file."""
-    df = spark.read.option("header", "true").option("enforceSchema", "false").csv(path)
-    names = {c.strip().lower(): c for c in df.columns}
-
-    def pick(known):
-        return next((names[c] for c in known if c in names), None)
-    t, r = pick(RATE_TIME_NAMES), pick(RATE_VALUE_NAMES)
-    if t is None or r is None:
-        raise ValueError(f"unrecognized rate header: {df.columns}")
-    return df.select(normalize_epoch(F.col(t)).alias("ts"), F.col(r).cast("double").alias("rate"))
+    """Delimited rates, every file under its own header; a header that is unknown or absent is refused.
+
+    Headers are found in a scan of their own, one row per file; each file's values are then taken from
+    the columns its header names. Spaces around names and values, and quotes, don't matter.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", "[\"\\s]", "").alias("_line")) \
+        .filter("_line != ''")
+    # a line that doesn't start like a number is a header
+    cells = F.split(F.lower("_line"), ",")
+    titled = lines.filter(~F.col("_line").rlike("^[-+.0-9]")).select("_file", "_line", cells.alias("_names")).distinct()
+
+    def place(known):
+        return F.coalesce(*[F.nullif(F.array_position("_names", c), F.lit(0)) for c in known])
+    headers = materialize(titled.select("_file", "_line", place(RATE_TIME_NAMES).alias("_t"), place(RATE_VALUE_NAMES).alias("_r")))
+    unknown = headers.filter("_t IS NULL OR _r IS NULL").first()
+    if unknown:
+        raise ValueError(f"unrecognized rate header: {unknown['_line']}")
+    twice = headers.groupBy("_file").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"several rate headers in {twice['_file']}")
+    rows = lines.filter(F.col("_line").rlike("^[-+.0-9]")).join(headers.select("_file", "_t", "_r"), "_file", "left")
+    known = F.when(F.col("_t").isNull(), F.raise_error(F.concat(F.lit("no rate header in "), "_file")).cast("array<string>")) \
+        .otherwise(F.split("_line", ","))
+    value = rows.select(known.alias("_cells"), "_t", "_r")
+    return value.select(normalize_epoch(F.get("_cells", (F.col("_t") - 1).cast("int")).cast("bigint")).alias("ts"),
+                        F.get("_cells", (F.col("_r") - 1).cast("int")).cast("double").alias("rate"))
 
 
 def merge_dedup(parts: list[DataFrame], keys: list[str]) -> DataFrame:

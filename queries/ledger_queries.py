@@ -242,6 +242,14 @@ def _(spark, sf):
     return out.select("arm", r6("max_drawdown", "max_drawdown", 9))
 
 
+@query("drawdown_quantile", f"""WITH {CURVE}, {RETS}, c AS (SELECT arm, t, sum(ret) OVER w AS level FROM rets
+  WINDOW w AS (PARTITION BY arm ORDER BY t)), p AS (SELECT arm, greatest(0, max(level) OVER (PARTITION BY arm
+  ORDER BY t)) - level AS d FROM c) SELECT arm, round(quantile_cont(d, 0.95), 9) AS drawdown FROM p GROUP BY arm""")
+def _(spark, sf):
+    rets = materialize(reports.curve_returns(curve(spark, sf), ["arm"], "t", "equity", BUCKET).filter("ret is not null"))
+    return reports.drawdown_quantile(rets, ["arm"], "t", "ret", 0.95, BUCKET).select("arm", r6("drawdown", "drawdown", 9))
+
+
 @query("sortino", f"""WITH {CURVE}, {RETS} SELECT arm, round(CASE WHEN avg(least(ret, 0) * least(ret, 0)) = 0
   THEN CASE WHEN avg(ret) <= 0 THEN 0 ELSE 1e6 END ELSE avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0)))
   * sqrt(2191.5) END, 6) AS sortino FROM rets GROUP BY arm""")

@@ -275,14 +275,18 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- episodes
-@query("episode_windows", f"""WITH RECURSIVE {OUTCOMES} SELECT r.entity, r.t, r.side, f.ts, f.close
+@query("episode_windows", f"""WITH RECURSIVE {OUTCOMES}, {RATES} SELECT r.entity, r.t, r.side, f.ts, f.close, q.rate,
+  CASE WHEN q.rate IS NOT NULL THEN coalesce((SELECT arg_max(close, g.ts) FROM fine g WHERE g.entity = f.entity AND g.ts < f.ts), f.open)
+  END AS mark, CASE WHEN rank <= {EU.tier1_top} THEN {EU.half_spread[0]} ELSE {EU.half_spread[1]} END::DOUBLE AS half_spread,
+  CASE WHEN rank <= {EU.tier1_top} THEN {EU.slippage[0]} ELSE {EU.slippage[1]} END::DOUBLE AS slip, {EU.fee}::DOUBLE AS fee
   FROM results r JOIN fine f ON f.entity = r.entity AND f.ts >= r.t + {HOUR}
-  AND f.ts <= least(r.exit_t + {EU.coarse_ms}, {FEB}) WHERE r.exit_t IS NOT NULL""")
+  AND f.ts <= least(r.exit_t + {EU.coarse_ms}, {FEB}) LEFT JOIN rates q ON q.entity = f.entity AND q.ts = f.ts
+  WHERE r.exit_t IS NOT NULL""")
 def _(spark, sf):
     x = Panel(spark, sf)
-    out = x.outcomes
-    return outcomes.episode_windows(out.select("entity", "t", "side", "exit_t"), x.fine, FEB, EU) \
-        .select("entity", "t", "side", "ts", "close")
+    marks = outcomes.rate_marks(rates(x), x.fine)
+    return outcomes.episode_windows(x.outcomes.select("entity", "t", "side", "rank", "exit_t"), x.fine, FEB, EU, marks=marks) \
+        .select("entity", "t", "side", "ts", "close", "rate", "mark", "half_spread", "slip", "fee")
 
 
 def exposure(x: Panel):

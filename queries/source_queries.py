@@ -68,14 +68,16 @@ def _(spark, sf):
     return out.select(F.lit("click").alias("entity"), "ts", "open", "high", "low", "close", "volume")
 
 
-@query("read_rate_csv", f"""WITH {FINE}, {RATES} SELECT ts, rate FROM rates WHERE entity = 'view'""")
+@query("read_rate_csv", f"""WITH {FINE}, {RATES} SELECT ts, rate FROM rates""")
 def _(spark, sf):
+    """All entities, whose files name and order their columns in three ways."""
     path = scratch_path(spark, "rates-csv")
-    (rates(Panel(spark, sf)).filter("entity = 'view'")
-     .select(F.col("ts").alias("calc_time"), F.lit(8).alias("interval_hours"),
-             F.col("rate").alias("last_funding_rate"))
-     .write.option("header", "true").csv(path))
-    return panel.read_rate_csv(spark, path)
+    r = materialize(rates(Panel(spark, sf)))
+    first = F.ascii("entity") % 3
+    for k, (t, v) in enumerate((("calc_time", "last_funding_rate"), ("fundingTime", "fundingRate"), ("funding_time", "funding_rate"))):
+        named = [F.col("ts").alias(t), F.lit(8).alias("interval_hours"), F.col("rate").alias(v)]
+        r.filter(first == k).select(*(named if k < 2 else named[::-1])).write.option("header", "true").csv(f"{path}/{k}")
+    return panel.read_rate_csv(spark, [f"{path}/{k}" for k in range(3)])
 
 
 @query("normalize_epoch", """WITH x AS (SELECT event_id, CASE WHEN event_type = 'view' THEN epoch_us(ts)
@@ -543,8 +545,7 @@ def _(spark, sf):
 @query("greedy_admit_large", f"""WITH RECURSIVE {ADMIT} SELECT o_orderkey, size, outcome FROM a WHERE rn > 0""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderdate", "o_orderkey", F.col("o_totalprice").alias("size"))
-    out = risk.greedy_admit(materialize(o), ["o_orderdate"], ["o_orderkey"], "size", F.lit(700000.0), 4,
-                            20000.0, fold_limit=0)
+    out = risk.greedy_admit(materialize(o), ["o_orderdate"], ["o_orderkey"], "size", F.lit(700000.0), 4, 20000.0)
     return out.select("o_orderkey", "size", "outcome")
 
 

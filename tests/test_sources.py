@@ -50,8 +50,16 @@ def test_rate_csv_headers(spark, scratch):
     assert panel.read_rate_csv(spark, a).collect()[0] == (28800000, 0.0001)
     b = _text(spark, scratch + "/b", ["fundingTime,fundingRate", "28800000,0.5"])
     assert panel.read_rate_csv(spark, b).collect()[0] == (28800000, 0.5)
+    other = _text(spark, scratch + "/o", ['"funding_rate", "x", "funding_time"', " 0.25,7, 57600000", "", "-0.5,7,86400000"])
+    assert sorted(map(tuple, panel.read_rate_csv(spark, [a, b, other]).collect())) == [
+        (28800000, 0.0001), (28800000, 0.5), (57600000, 0.25), (86400000, -0.5)]
+    c = _text(spark, scratch + "/c", ["when,what", "1,2"])
     with pytest.raises(ValueError):
-        panel.read_rate_csv(spark, _text(spark, scratch + "/c", ["when,what", "1,2"]))
+        panel.read_rate_csv(spark, c)
+    with pytest.raises(ValueError):
+        panel.read_rate_csv(spark, [a, c])
+    with pytest.raises(Exception, match="no rate header"):
+        panel.read_rate_csv(spark, _text(spark, scratch + "/n", ["28800000,8,0.5"])).collect()
 
 
 def test_rates_in_both_layouts(spark, scratch):
