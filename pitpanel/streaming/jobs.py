@@ -1,7 +1,8 @@
 """Incremental forms of batch operators.
 
-Rows behind the watermark are dropped by Spark and counted in the query's progress: nothing
-that was finished is reopened or backfilled.
+Rows behind the watermark are dropped and counted (``late_rows``): nothing that was finished is
+reopened or backfilled. A stream that ends is closed by one row of the future (``closing_row``), so that
+its last windows are not left waiting.
 """
 
 from __future__ import annotations
@@ -130,7 +131,30 @@ def stream_pause_monitor(curve: DataFrame, p: Params = DEFAULTS, day_ms: int = D
         outputMode="Append", timeMode="None")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there and stop, into a Parquet table."""
-    (stream.writeStream.format("parquet").outputMode("append").option("path", path)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+def closing_row(rows: DataFrame, ts: str, beyond_ms: int, **values) -> DataFrame:
+    """One row ``beyond_ms`` after the last time of ``rows``, null but for ``values``; none if no row has a time.
+
+    To be appended as the last of a stream: it moves the watermark past everything before it, and stays
+    in the state itself if ``beyond_ms`` is more than the delay and the longest window. A column that the
+    stream is joined by needs a value that no row has, as rows without one never reach the watermark.
+    """
+    last = F.expr(f"max({ts}) + make_dt_interval(0, 0, 0, {beyond_ms} / 1000.0)").alias(ts)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return rows.agg(last).filter(F.col(ts).isNotNull()).select(
+        *[F.col(c) if c == ts else F.lit(values.get(c)).cast(kinds[c]).alias(c) for c in rows.columns])
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Process what is there and stop, into a Parquet table; the number of ``late_rows``."""
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return late_rows(query)
+
+
+def late_rows(query) -> int:
+    """Rows that came behind the watermark, over the batches Spark remembers of this run.
+
+    An aggregation counts them as they reach its state: those of one group and task in a batch as one.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for batch in query.recentProgress for op in batch["stateOperators"])

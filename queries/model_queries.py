@@ -126,12 +126,14 @@ class _rocks:
         self.spark.conf.set(self.key, self.old)
 
 
-def _source(spark, sf, name, prepared=None):
-    """Stream over a directory of Parquet files in file order."""
+def _source(spark, sf, name, prepared=None, closed=None):
+    """Stream over a directory of Parquet files in file order; ``closed`` (time column, distance, values...) ends it."""
     if prepared is None:
         prepared = table(spark, sf, name)
     path = scratch_path(spark, "stream-in")
     prepared.write.parquet(path)
+    if closed:
+        jobs.closing_row(spark.read.schema(prepared.schema).parquet(path), *closed[:2], **dict(closed[2:])).write.mode("append").parquet(path)
     return spark.readStream.schema(prepared.schema).parquet(path)
 
 
@@ -146,21 +148,17 @@ def _ticks(spark, sf):
                                              "event_id", "user_id", "value")
 
 
-# windows close when the watermark passes them: everything before the last event of all, less
-# the delay, is compared
+# streams end with a closing row, so every window is compared
 @query("stream_complete_bars", f"""WITH t AS (SELECT event_type AS entity, epoch_us(ts) // 1000 AS ms, ts, event_id, value
   FROM events), f AS (SELECT entity, ms - ms % {HOUR} AS slot, arg_min(value, row(ts, event_id)) AS o, max(value) AS h,
   min(value) AS l, arg_max(value, row(ts, event_id)) AS c, count(*) AS v FROM t GROUP BY 1, 2),
   g AS (SELECT entity, slot - slot % {4 * HOUR} AS open_ts, arg_min(o, slot) AS open, max(h) AS high, min(l) AS low,
   arg_max(c, slot) AS close, sum(v)::BIGINT AS volume FROM f GROUP BY 1, 2 HAVING count(*) = 4)
-  SELECT entity, open_ts, open_ts + {4 * HOUR} AS boundary, open, high, low, close, volume FROM g
-  WHERE open_ts + {4 * HOUR} <= (SELECT max(ms) FROM t) - {2 * HOUR}""")
+  SELECT entity, open_ts, open_ts + {4 * HOUR} AS boundary, open, high, low, close, volume FROM g""")
 def _(spark, sf):
-    src = _source(spark, sf, "events", _ticks(spark, sf))
+    src = _source(spark, sf, "events", _ticks(spark, sf), ("ts", 2 * DAY))
     fine = jobs.stream_fine_bars(src, "entity", "ts", "value", ["event_id"], HOUR, HOUR)
-    out = _run(spark, jobs.stream_complete_bars(fine, "entity", P))
-    last = table(spark, sf, "events").select(F.max(epoch_ms("ts"))).scalar()
-    return out.withColumn("_l", last).filter(F.col("boundary") <= F.col("_l") - 2 * HOUR).drop("_l")
+    return _run(spark, jobs.stream_complete_bars(fine, "entity", P))
 
 
 @query("stream_dedup", f"""SELECT event_type AS entity, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {4 * HOUR} AS slot,
@@ -180,15 +178,13 @@ def _(spark, sf):
   SELECT m.conv_id * {DAY} AS t, bool_and(coalesce(ok, false)) AS valid,
   coalesce(string_agg(CASE WHEN NOT coalesce(ok, false) THEN m.member END, ',' ORDER BY m.member), '') AS failed,
   coalesce(string_agg(CASE WHEN ok IS NULL THEN m.member END, ',' ORDER BY m.member), '') AS missing
-  FROM m LEFT JOIN rp ON rp.conv_id = m.conv_id AND rp.member = m.member
-  WHERE m.conv_id < (SELECT max(conv_id) - 1 FROM conversations) GROUP BY m.conv_id""")
+  FROM m LEFT JOIN rp ON rp.conv_id = m.conv_id AND rp.member = m.member GROUP BY m.conv_id""")
 def _(spark, sf):
     c = table(spark, sf, "conversations").select(
         F.timestamp_millis(F.col("conv_id") * DAY + F.col("turn")).alias("ts"), F.col("role").alias("member"),
         (F.length("text") > 40).alias("ok"))
-    out = _run(spark, jobs.stream_round_status(_source(spark, sf, "conversations", c), MEMBERS, "ts", DAY, HOUR))
-    last = table(spark, sf, "conversations").select(F.max("conv_id")).scalar()
-    return out.withColumn("_l", last).filter(F.col("t") < (F.col("_l") - 1) * DAY).drop("_l")
+    src = _source(spark, sf, "conversations", c, ("ts", 3 * DAY))
+    return _run(spark, jobs.stream_round_status(src, MEMBERS, "ts", DAY, HOUR))
 
 
 PAUSE = replace(P, daily_loss=0.003, drawdown_limit=0.01)
@@ -214,17 +210,12 @@ def _(spark, sf):
   WHERE event_type = 'error' GROUP BY 1, 2)
   SELECT e.event_id, r.rate FROM events e LEFT JOIN r ON r.user_id = e.user_id
   AND r.slot = (epoch_us(e.ts) // 1000) - (epoch_us(e.ts) // 1000) % {HOUR}
-  WHERE event_type <> 'error' AND (epoch_us(e.ts) // 1000) < (SELECT max(epoch_us(ts) // 1000) FROM events
-  WHERE event_type = 'error') - {3 * DAY}""")
+  WHERE event_type <> 'error'""")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("ms", epoch_ms("ts"))
     slot = F.timestamp_millis(F.col("ms") - F.pmod(F.col("ms"), F.lit(HOUR)))
     pos = e.filter("event_type <> 'error'").select("event_id", F.col("user_id").alias("entity"), slot.alias("slot"))
     rate = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("entity"), slot.alias("slot")).agg(
         F.max("value").alias("rate"))
-    out = _run(spark, jobs.stream_rate_enrich(_source(spark, sf, "events", pos), _source(spark, sf, "events", rate),
-                                              "slot", DAY))
-    last = e.filter("event_type = 'error'").select(F.max("ms")).scalar()
-    ms = e.select("event_id", "ms")
-    return (out.join(ms, "event_id").withColumn("_l", last).filter(F.col("ms") < F.col("_l") - 3 * DAY)
-            .select("event_id", "rate"))
+    both = [_source(spark, sf, "events", x, ("slot", 9 * DAY, ("entity", none))) for x, none in ((pos, -1), (rate, -2))]
+    return _run(spark, jobs.stream_rate_enrich(*both, "slot", DAY)).select("event_id", "rate")

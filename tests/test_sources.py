@@ -153,3 +153,25 @@ def test_models_guard_and_bind_by_name(spark):
     assert abs(a - b) < 1e-9
     s = models.fit_sizer(df, ["F02_a"], "net", maxIter=3)
     assert {r["bucket"] for r in s.bucket(df).select("bucket").distinct().collect()} <= {0.25, 0.5, 0.75, 1.0}
+
+
+def test_late_rows_are_dropped_and_counted_and_the_end_is_closed(spark, scratch):
+    from pitpanel.params import HOUR
+    from pitpanel.streaming import jobs
+
+    rows = lambda *hs: spark.createDataFrame([(h, 3_600 * h) for h in hs], "id int, s bigint").select("id", F.timestamp_seconds("s").alias("ts"))
+    path = scratch + "/in"
+    rows(1, 2, 3, 100).coalesce(1).write.parquet(path)
+    # the first batch moves the watermark to hour 98, which holds from the batch after the next on
+    rows(102).coalesce(1).write.mode("append").parquet(path)
+    rows(97, 5, 6, 99, 101).coalesce(1).write.mode("append").parquet(path)
+    jobs.closing_row(spark.read.parquet(path), "ts", 10 * HOUR).coalesce(1).write.mode("append").parquet(path)
+    assert jobs.closing_row(spark.read.parquet(path).limit(0), "ts", 1).count() == 0
+    stream = spark.readStream.schema("id int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    late = jobs.run_available(jobs.stream_dedup(stream, ["id"], "ts", 2 * HOUR), scratch + "/out", scratch + "/cp")
+    got = sorted(r["id"] or 0 for r in spark.read.parquet(scratch + "/out").collect())
+    assert late == 3 and got == [0, 1, 2, 3, 99, 100, 101, 102]
+    stream = spark.readStream.schema("id int, ts timestamp").parquet(path)
+    status = jobs.stream_round_status(stream.selectExpr("ts", "'a' AS member", "id > 2 AS ok"), ["a"], "ts", HOUR, HOUR)
+    assert jobs.run_available(status, scratch + "/out2", scratch + "/cp2") == 0
+    assert spark.read.parquet(scratch + "/out2").count() == 10
