@@ -47,7 +47,7 @@ def _windows(n: int) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Network:
@@ -74,32 +74,34 @@ class Network:
     def _known(self, vocabulary) -> np.ndarray:
         return np.array([self.words.get(w, 0) for w, _ in vocabulary], np.int64)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        """States of one direction from projected inputs (window, place, 3 * hidden)."""
-        p, n, H = self.p, len(x), HIDDEN
+    def _run(self, d: str, table: np.ndarray, ids: np.ndarray, live: np.ndarray, keep: bool):
+        """States of one direction; ``table`` has projected inputs, ``ids`` (window, place) their rows, ``live`` 1 for a word."""
+        p, n, H = self.p, len(ids), HIDDEN
         h, out, kept = np.zeros((n, H), np.float32), np.zeros((n, SPAN, H), np.float32), []
-        rec = p[f"{d}_rec"]
+        places, live = np.ascontiguousarray(ids.T), np.ascontiguousarray(live.T)[:, :, None]
+        gates, fresh = np.ascontiguousarray(p[f"{d}_rec"][:, :2 * H]), np.ascontiguousarray(p[f"{d}_rec"][:, 2 * H:])
         for t in range(SPAN) if d == "f" else reversed(range(SPAN)):
-            m = mask[:, t, None]
-            zr = _sigmoid(x[:, t, :2 * H] + h @ rec[:, :2 * H])
+            x = table.take(places[t], axis=0)
+            zr = _sigmoid(x[:, :2 * H] + h @ gates)
             z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(x[:, t, 2 * H:] + (r * h) @ rec[:, 2 * H:])
+            c = np.tanh(x[:, 2 * H:] + (r * h) @ fresh)
             if keep:
                 kept.append((t, h, z, r, c))
-            h = np.where(m, h + z * (c - h), h)
+            h = h + live[t] * z * (c - h)
             out[:, t] = h
         return out, kept
 
     def forward(self, table: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logit per window; ``table`` has the words' projections, ``ids`` (window, place) their rows."""
         p = self.p
-        sides = [self._run(d, table[d][ids], mask, keep) for d in "fb"]
+        live = mask.astype(np.float32)
+        sides = [self._run(d, table[d], ids, live, keep) for d in "fb"]
         states = np.concatenate([s for s, _ in sides], 2)
         u = np.tanh(states @ p["attend"])
         a = np.where(mask, u @ p["pick"], -1e9)
         a = np.exp(a - a.max(1, keepdims=True))
         a /= a.sum(1, keepdims=True)
-        pooled = np.einsum("nt,nth->nh", a, states)
+        pooled = np.matmul(a[:, None], states)[:, 0]
         logit = pooled @ p["out"] + p["bias"][0]
         return logit, (sides, states, u, a, pooled) if keep else None
 
@@ -161,7 +163,7 @@ def _batch(texts: list[list[bytes]]):
 
 
 def train(rows: list[tuple[str | None, int]], epochs: int = 3, size: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
-    """A network fitted to (text, label) rows by the soft maximum of each text's windows.
+    """A network fitted to (text, label) rows by the highest of each text's windows.
 
     First components of the embeddings start at the smoothed log odds of a word or trigram in toxic rows.
     Without rows of both labels the network stays as drawn.
@@ -194,13 +196,14 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 3, size: int = 16, r
             part = [data[i] for i in order[at:at + size]]
             vocabulary, ids, mask, owner = _batch([w for w, _ in part])
             x = net.embed(vocabulary)
-            logit, held = net.forward(net.project(x), ids, mask, keep=True)
-            d = np.zeros(len(logit), np.float32)
-            for i, (_, y) in enumerate(part):
-                mine = owner == i
-                share = np.exp(logit[mine] - logit[mine].max())
-                share /= share.sum()
-                d[mine] = share * (_sigmoid((share * logit[mine]).sum()) - y) * weight[y] / len(part)
+            table = net.project(x)
+            logit, _ = net.forward(table, ids, mask)
+            # a text is judged by its highest window, so that window learns
+            top = np.array([np.flatnonzero(owner == i)[logit[owner == i].argmax()] for i in range(len(part))])
+            y = np.array([y for _, y in part])
+            logit, held = net.forward(table, ids[top], mask[top], keep=True)
+            d = ((_sigmoid(logit) - y) * weight[y] / len(part)).astype(np.float32)
+            ids, mask = ids[top], mask[top]
             step += 1
             for k, g in net.backward(x, vocabulary, ids, mask, held, d).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -211,16 +214,24 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 3, size: int = 16, r
 
 
 class Scorer:
-    """Projections per word are remembered; the memory is bounded and changes no score."""
+    """Scores texts by blocks of windows of many texts.
 
-    def __init__(self, net: Network, most: int = 100_000):
+    A block always has ``block`` rows, so a window's arithmetic doesn't depend on the texts beside it.
+    Projections per word are remembered; the memory is bounded and changes no score.
+    """
+
+    def __init__(self, net: Network, most: int = 100_000, block: int = 1024):
         self.net, self.most = net, most
         self.index: dict[bytes, int] = {}
         self.table = {d: np.zeros((1024, 3 * HIDDEN), np.float32) for d in "fb"}
+        self.ids, self.mask = np.zeros((block, SPAN), np.int64), np.zeros((block, SPAN), bool)
+        self.owner, self.used = np.zeros(block, np.int64), 0
+        self.best = np.empty(0)
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
         new = list(dict.fromkeys(w for w in words if w not in self.index))
         if new and len(self.index) + len(new) > self.most:
+            self._flush()  # waiting windows point into the table
             self.index.clear()
             new = list(dict.fromkeys(words))
         if new:
@@ -233,29 +244,46 @@ class Scorer:
             self.index.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def score(self, text: str | None, block: int = 2048) -> float:
-        words = (text or "").encode().split()
-        if not words:
-            return 0.0
-        rows, starts, best = self._rows(words), _windows(len(words)), -np.inf
-        for at in range(0, len(starts), block):
-            places = starts[at:at + block, None] + np.arange(SPAN)
-            logit, _ = self.net.forward(self.table, rows[np.minimum(places, len(rows) - 1)], places < len(rows))
-            best = max(best, float(logit.max()))
-        return float(_sigmoid(best))
-
-
-def fit(rows: list[tuple[str | None, int]], threshold: float, train_chars: int = 4_000) -> Network:
-    """A network trained on the shorter texts among three rows of four, its bias moved so that ``threshold`` parts the fourth best.
-
-    Best: the lowest miss rate plus twice the false-alarm rate. Training sees a soft mean of windows and
-    scoring the highest, which rises with length; the move makes up for it.
+    def _flush(self) -> None:
+        if self.used:
+            self.mask[self.used:] = False
+            logit, _ = self.net.forward(self.table, self.ids, self.mask)
+            np.maximum.at(self.best, self.owner[:self.used], logit[:self.used])
+            self.used = 0
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """Highest logit over all windows of each text; minus infinity without words."""
+        self.best = np.full(len(texts), -np.inf)
+        for i, text in enumerate(texts):
+            words = (text or "").encode().split()
+            if not words:
+                continue
+            rows, starts, at = self._rows(words), _windows(len(words)), 0
+            while at < len(starts):
+                to = min(len(starts), at + len(self.ids) - self.used)
+                places = starts[at:to, None] + np.arange(SPAN)
+                here = slice(self.used, self.used + to - at)
+                self.ids[here], self.mask[here] = rows[np.minimum(places, len(rows) - 1)], places < len(rows)
+                self.owner[here] = i
+                self.used, at = here.stop, to
+                if self.used == len(self.ids):
+                    self._flush()
+        self._flush()
+        return self.best
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """From 0 to 1; 0 without words."""
+        return _sigmoid(self.logits(texts))
+
+
+def fit(rows: list[tuple[str | None, int]], threshold: float) -> Network:
+    """A network trained on three rows of four, its bias moved so that ``threshold`` parts the fourth best.
+
+    Best: the lowest miss rate plus twice the false-alarm rate.
     """
-    net = train([r for i, r in enumerate(rows) if i % 4 and len(r[0] or "") <= train_chars])
-    scorer = Scorer(net)
-    pairs = [(scorer.score(t), int(y)) for t, y in rows[::4] if (t or "").split()]
-    logits = np.array([np.log(max(p, 1e-12) / max(1 - p, 1e-12)) for p, _ in pairs])
-    toxic = np.array([y for _, y in pairs], bool)
+    net = train([r for i, r in enumerate(rows) if i % 4])
+    held = [(t, y) for t, y in rows[::4] if (t or "").split()]
+    logits, toxic = Scorer(net).logits([t for t, _ in held]), np.array([y for _, y in held], bool)
     if toxic.any() and not toxic.all():
         at = np.sort(logits)
         cuts = (at[1:] + at[:-1]) / 2
@@ -264,29 +292,46 @@ def fit(rows: list[tuple[str | None, int]], threshold: float, train_chars: int =
     return net
 
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int, most_chars: int) -> list[tuple[str, int]]:
+    """At most ``most`` (text, label) rows of each label, in the order of (crc32 of the id, id, md5 of the text).
+
+    Rows are chosen by id and digest alone; only the texts of the chosen ones are then read and sent.
+    """
+    spark = docs.sparkSession
+    crc, md5 = F.crc32(F.col("doc_id").cast("string")), F.md5("text")
+    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").where(crc % 3 != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
+    short = docs.where(F.length("text") <= most_chars)
+    usable = (short.where(crc % 3 != 1).select("doc_id", md5.alias("digest")).join(known, "doc_id")
+              .groupBy("doc_id", "digest").agg(F.first("label").alias("label")))
+    order = [crc, "doc_id", "digest"]
+    first, second = (usable.where(F.col("label") == y).orderBy(*order).limit(most) for y in (0, 1))
+    chosen = [tuple(r) for r in first.unionByName(second).collect()]  # at most 2 * most rows without texts
+    table = spark.createDataFrame(chosen, "doc_id bigint, digest string, label int")
+    found = (short.withColumn("digest", md5).join(F.broadcast(table), ["doc_id", "digest"])
+             .groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.first("label").alias("label")).orderBy("label", *order))
+    return [(r["text"], r["label"]) for r in found.collect()]
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           most: int = 400, most_chars: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per row of ``docs``.
 
     Labels are learnt from rows whose crc32 of the id modulo 3 is not 1: at most ``most`` of each label, in
-    the order of the crc, no longer than ``most_chars``. Null labels are skipped; an id's greatest label
-    counts. Null and empty texts score 0, a null id is not held out. No labels at all: an untrained model.
+    the order of the crc, no longer than ``most_chars``; repeated rows count once. Null labels are skipped; an
+    id's greatest label counts. Null and empty texts score 0, a null id is not held out, other columns aren't
+    read. An empty table gives no row. No labels at all: an untrained model.
     """
     spark = prepare(docs.sparkSession)
     view = column_view(docs, doc_id=id_col, text=text_col)
     crc = F.crc32(F.col("doc_id").cast("string"))
-    known = column_view(labels, doc_id=id_col, label=label_col).where("label IS NOT NULL AND doc_id IS NOT NULL")
-    known = known.where(crc % 3 != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
-    usable = view.where(F.length("text") <= most_chars).join(known, "doc_id")
-    order = [crc, "doc_id", F.md5("text")]
-    rows = [(r["text"], r["label"]) for y in (0, 1) for r in usable.where(F.col("label") == y).orderBy(*order).limit(most).collect()]
+    rows = labelled(view, column_view(labels, doc_id=id_col, label=label_col), most, most_chars)
     net = spark.sparkContext.broadcast(fit(rows, threshold))  # a fixed size, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t.as_py()) for t in batch.column(1)],
-                                                                        pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())],
+                                             ["doc_id", "score"])
 
     return view.mapInArrow(run, "doc_id bigint, score double").select(
         "doc_id", F.coalesce(crc % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
