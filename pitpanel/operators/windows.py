@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pitpanel.params import DEFAULTS, Params
+from pitpanel.plans.sliding import trailing_quantile
 
 BY, TS = "entity", "boundary"
 
@@ -123,10 +124,7 @@ def regime(df: DataFrame, p: Params = DEFAULTS, by=BY, ts=TS) -> DataFrame:
             .withColumn("sma_fast", framed(F.avg("close"), F.col("close"), p.sma_fast, w))
             .withColumn("sma_slow", framed(F.avg("close"), F.col("close"), p.sma_slow, w))
             .withColumn("rvol", framed(F.stddev_samp("ret_1"), F.col("ret_1"), p.vol_short, w)))
-    past = w.rowsBetween(-(p.vol_history - 1), 0)
-    base = base.withColumn("rvol_q", F.when(
-        F.count("rvol").over(past) >= p.vol_short,
-        F.percentile("rvol", F.lit(p.vol_quantile)).over(past)))
+    base = trailing_quantile(base, "rvol", p.vol_history, p.vol_quantile, p.vol_short, "rvol_q", by, ts)
     short = F.col("_n") < p.sma_slow + 1
     state = (F.when(short, "stress")
              .when(F.col("rvol") > F.col("rvol_q"), "stress")
@@ -139,6 +137,14 @@ def regime(df: DataFrame, p: Params = DEFAULTS, by=BY, ts=TS) -> DataFrame:
             .drop("_n", "ret_1"))
 
 
+def regime_at(grid: DataFrame, states: DataFrame, ts=TS) -> DataFrame:
+    """State at every boundary of ``grid``; one without a bar is stress, flagged as too short a history."""
+    known = states.select(ts, "regime", "insufficient_history")
+    return (grid.select(ts).join(known, ts, "left")
+            .withColumn("insufficient_history", F.coalesce("insufficient_history", F.lit(True)))
+            .withColumn("regime", F.coalesce("regime", F.lit("stress"))))
+
+
 # Size multiplier per state and side.
 REGIME_MULTIPLIERS = {
     "stress": {1: 0.50, -1: 0.50},

@@ -53,11 +53,40 @@ def tree_digest(df: DataFrame, by: list[str], cols: list[Column],
     return level.select(*by, F.col("_n").alias("n_rows"), F.col("_h").alias("digest"))
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """Path, size and SHA-256 of every file below ``path``."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", "true").load(path)
-            .select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet", block: int = 1 << 23) -> DataFrame:
+    """Path, size and SHA-256 of every file below ``path``.
+
+    Spark lists the files; a task reads its files as streams, ``block`` bytes at a time, so a file may be
+    of any size. Executors open them by the file system of the path's scheme.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+             .option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes")))
+
+    def digest(batches: Iterator) -> Iterator:
+        import hashlib
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def one(name):
+            scheme, rest = name.split(":", 1)
+            if scheme == "file":
+                system, at = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+            else:
+                system, at = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+            h = hashlib.sha256()
+            with system.open_input_stream(at) as f:
+                while data := f.read(block):
+                    h.update(data)
+            return h.hexdigest()
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([one(x) for x in batch.column(0).to_pylist()], pa.string())], ["path", "bytes", "sha256"])
+
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(spread, "path").mapInArrow(digest, "path string, bytes bigint, sha256 string")
 
 
 def manifest_digest(manifest: DataFrame) -> DataFrame:

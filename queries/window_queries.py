@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import bars, reports, risk, universe, windows
 from pitpanel.params import DAY
-from queries.base import (COARSE, CONTEXT, CURVE, NATION_LINES, P, SERIES, SIGNALS, U, _prior,
+from queries.base import (COARSE, CONTEXT, CURVE, FEB, JAN, NATION_LINES, P, SERIES, SIGNALS, U, _prior,
                           _trail, coarse, curve, daily_cte, nation_lines, query, r6)
 
 KEY = ["entity", "boundary"]
@@ -104,6 +104,14 @@ def _(spark, sf):
                       mult(F.col("regime"), F.lit(-1)).alias("short_mult"))
 
 
+@query("regime_at", f"""WITH RECURSIVE {REGIME}, grid AS (SELECT unnest(generate_series({JAN}, {FEB}, {P.coarse_ms})) AS boundary)
+  SELECT boundary, coalesce(regime, 'stress') AS regime, coalesce(insufficient_history, true) AS insufficient_history
+  FROM grid LEFT JOIN regime USING (boundary)""")
+def _(spark, sf):
+    grid = universe.boundary_grid(spark, JAN, FEB, P.coarse_ms)
+    return windows.regime_at(grid, context_regime(spark, sf)).select("boundary", "regime", "insufficient_history")
+
+
 @query("pause_flags", f"""WITH {CURVE}, d AS (SELECT *, t // {7 * DAY} AS day FROM curve),
   x AS (SELECT arm, t, equity, first_value(equity) OVER (PARTITION BY arm, day ORDER BY t) AS start_equity,
   max(equity) OVER (PARTITION BY arm, day ORDER BY t) AS peak_today,

@@ -113,6 +113,7 @@ def test_manifest_and_diff(spark, scratch):
     with open(row["path"].removeprefix("file:"), "rb") as f:
         data = f.read()
     assert row["sha256"] == hashlib.sha256(data).hexdigest() and row["bytes"] == len(data)
+    assert manifests.file_manifest(spark, scratch + "/a", block=7).exceptAll(m).isEmpty()  # many blocks a file
     e = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "path string, sha256 string")
     a = spark.createDataFrame([("x", "1"), ("y", "9"), ("w", "4")], "path string, sha256 string")
     got = {r["path"]: r["status"] for r in manifests.manifest_diff(e, a).collect()}

@@ -179,3 +179,26 @@ def test_no_lookahead_in_series(spark):
     leak = checks.lookahead_check(lambda d: d.withColumn("x", F.lead("close").over(
         windows._w("entity", "boundary"))).select("boundary", "x"), df, "boundary", t, cols, "boundary")
     assert leak.count() > 0
+
+
+def test_trailing_quantile_equals_percentile_over_the_frame(spark):
+    from pyspark.sql import Window as W
+
+    from pitpanel.plans.sliding import trailing_quantile
+    rng, rows = random.Random(9), []
+    for e, size in (("a", 211), ("b", 1), ("c", 40), ("d", 7)):
+        rows += [(e, i * 3, None if e == "d" or rng.random() < 0.2 else rng.choice([rng.random(), 1.5, -2.0])) for i in range(size)]
+    df = spark.createDataFrame(rows, "entity string, boundary bigint, x double")
+    for n, q, least in ((40, 0.9, 5), (7, 0.5, 1), (1, 0.9, 1), (300, 0.33, 0), (40, 1.0, 3)):
+        w = W.partitionBy("entity").orderBy("boundary").rowsBetween(-(n - 1), 0)
+        want = df.withColumn("y", F.when(F.count("x").over(w) >= least, F.percentile("x", F.lit(q)).over(w)))
+        got = trailing_quantile(df, "x", n, q, least, "y", "entity", "boundary")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), n
+    assert trailing_quantile(df.limit(0), "x", 5, 0.5, 1, "y", "entity", "boundary").count() == 0
+
+
+def test_regime_at_a_boundary_without_a_bar(spark):
+    states = windows.regime(bars_df(spark, [(100 + i,) * 3 for i in range(300)]))
+    last = states.agg(F.max("boundary")).first()[0]
+    got = windows.regime_at(spark.createDataFrame([(last,), (last + 1,)], "boundary bigint"), states).orderBy("boundary").collect()
+    assert [(r["regime"], r["insufficient_history"]) for r in got] == [("uptrend", False), ("stress", True)]
