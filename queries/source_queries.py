@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import (bucket_of, by_tier, clip_finite, entry_fill, epoch_ms, erf,
                                         exit_fill, floor_to, nan_to_null, normalize_epoch, on_grid, tier)
-from pitpanel.operators import bars, checks, coverage, risk, universe, windows
+from pitpanel.operators import bars, checks, coverage, recompute, risk, universe, windows
 from pitpanel.params import DAY, HOUR
 from pitpanel.plans.ordered import exact_quantiles, time_bucket, with_value_bucket
 from pitpanel.session import materialize, scratch_path
 from pitpanel.sources import manifests, panel
-from queries.base import (COARSE, CURVE, EU, FEB, FINE, JAN, TICKS, Panel, curve, fine, query, r6, rates,
-                          table, ticks)
-from queries.outcomes import FEATURE_CTE, NATION_ROUNDS, RATES, feature_rows, nation_rounds
+from queries.base import (COARSE, CURVE, EU, FEB, FINE, JAN, TICKS, Panel, curve, fine, nation_lines,
+                          query, r6, rates, table, ticks)
+from queries.outcomes import (FEATURE_CTE, FREEZE, NATION_CTX, NATION_ROUNDS, RATES, SPAN, Y01, Y95,
+                              feature_rows, nation_rounds)
 
 A, B = JAN + 5 * DAY, JAN + 12 * DAY
 
@@ -586,15 +587,23 @@ def _(spark, sf):
     return manifests.verify_chain(with_value_bucket(c, "event_id"), ["user_id"], "event_id", "body", F.col("_vb"))
 
 
-@query("partition_verify", f"""WITH {NATION_ROUNDS} SELECT boundary, 'valid' AS field,
-  (n_eligible >= 18 AND ctx_complete)::BIGINT AS recorded, valid::BIGINT AS computed FROM rounds
-  WHERE (n_eligible >= 18 AND ctx_complete) <> valid""")
-def _(spark, sf):
-    r = materialize(nation_rounds(spark, sf))
-    rec = r.select("boundary", F.lit("valid").alias("field"), (
-        (F.col("n_eligible") >= 18) & F.col("ctx_complete")).cast("bigint").alias("value"))
-    cal = r.select("boundary", F.lit("valid").alias("field"), F.col("valid").cast("bigint").alias("value"))
-    return checks.partition_verify(rec, cal, "boundary")
+# every 97th recorded round and the recorded start of the validation part are altered
+@query("partition_verify", f"""WITH {NATION_ROUNDS}, s AS (SELECT boundary, valid,
+  avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END) OVER (ORDER BY boundary RANGE BETWEEN CURRENT ROW
+  AND {SPAN.span_window_ms} FOLLOWING) AS share FROM rounds),
+  f AS (SELECT min(boundary) AS a FROM s WHERE valid AND share >= {SPAN.span_fraction}),
+  e AS (SELECT a + floor({SPAN.train_fraction} * (({Y01} - a) // {DAY} + 1))::BIGINT * {DAY} AS v FROM f)
+  SELECT boundary AS key, 'valid' AS field, (NOT valid)::BIGINT AS recorded, valid::BIGINT AS computed
+  FROM rounds WHERE boundary // {DAY} % 97 = 0
+  UNION ALL SELECT 0, 'validation_start', v + {DAY}, v FROM e WHERE v IS NOT NULL""")
+def _(spark, sf):
+    lines = materialize(nation_lines(spark, sf))
+    rounds = materialize(nation_rounds(spark, sf))
+    rec = recompute.partition_record(rounds, Y01, FREEZE, DAY, SPAN)
+    altered = (F.when((F.col("field") == "valid") & (F.floor(F.col("key") / DAY) % 97 == 0), 1 - F.col("value"))
+               .when(F.col("field") == "validation_start", F.col("value") + DAY).otherwise(F.col("value")))
+    anew = recompute.partition_recompute(lines, NATION_CTX, Y95, Y01, DAY, SPAN)
+    return checks.partition_verify(rec.withColumn("value", altered), anew, "key")
 
 
 LOOK = JAN + 15 * DAY
