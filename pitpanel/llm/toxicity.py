@@ -11,21 +11,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_view, prepare
+from .common import column_view, mix64, prepare
 
 GRAMS, DIM, HIDDEN = 1 << 12, 8, 8
 LEAST, MOST_WORDS = 3, 1 << 14  # training rows that must hold a word to name it; words named
 SPAN, STRIDE = 32, 16
 
 
-def _features(word: bytes) -> tuple[str, list[int]]:
-    w = word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()|")
-    framed = f"<{w}>"
-    return w, [xxhash.xxh3_64_intdigest(framed[i:i + 3]) % GRAMS for i in range(len(framed) - 2)] or [0]
+Vocabulary = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def _features(words: list[bytes]) -> Vocabulary:
+    """Plain form of each word, the hashed trigrams of all in a row, and their number per word."""
+    plain = [w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()|") for w in words]
+    chars = np.frombuffer("".join([f"<{w or ' '}>" for w in plain]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.maximum(np.fromiter(map(len, plain), np.int64, len(plain)), 1)
+    ends = np.cumsum(sizes + 2)
+    within = np.ones(len(chars), bool)
+    within[ends - 1] = within[ends - 2] = False  # no trigram goes past its word
+    at = np.flatnonzero(within)
+    code = chars[at] | chars[at + 1] << np.uint64(21) | chars[at + 2] << np.uint64(42)
+    return plain, (mix64(code) & np.uint64(GRAMS - 1)).astype(np.int64), sizes
 
 
 def _sums(rows: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
@@ -64,15 +73,14 @@ class Network:
             self.p |= {f"{d}_in": init(2 * DIM, 3 * HIDDEN), f"{d}_rec": init(HIDDEN, 3 * HIDDEN),
                        f"{d}_bias": np.zeros(3 * HIDDEN, np.float32)}
 
-    def embed(self, vocabulary: list[tuple[str, list[int]]]) -> np.ndarray:
+    def embed(self, vocabulary: Vocabulary) -> np.ndarray:
         """A row per word: its own vector and the mean of its trigrams'."""
-        sizes = np.array([len(g) for _, g in vocabulary])
-        flat = self.p["grams"][[x for _, g in vocabulary for x in g]]
-        grams = np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes[:, None]
-        return np.hstack([self.p["words"][self._known(vocabulary)], grams]).astype(np.float32)
+        names, flat, sizes = vocabulary
+        grams = np.add.reduceat(self.p["grams"][flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+        return np.hstack([self.p["words"][self._known(names)], grams]).astype(np.float32)
 
-    def _known(self, vocabulary) -> np.ndarray:
-        return np.array([self.words.get(w, 0) for w, _ in vocabulary], np.int64)
+    def _known(self, names: list[str]) -> np.ndarray:
+        return np.array([self.words.get(w, 0) for w in names], np.int64)
 
     def _run(self, d: str, table: np.ndarray, ids: np.ndarray, live: np.ndarray, keep: bool):
         """States of one direction; ``table`` has projected inputs, ``ids`` (window, place) their rows, ``live`` 1 for a word."""
@@ -137,9 +145,8 @@ class Network:
             d_proj = _sums(d_in.reshape(-1, 3 * H), ids.ravel(), len(x))
             g[f"{d}_in"], g[f"{d}_bias"] = x.T @ d_proj, d_proj.sum(0)
             d_x = d_x + d_proj @ p[f"{d}_in"].T
-        g["words"] = _sums(d_x[:, :DIM], self._known(vocabulary), len(p["words"]))
-        sizes = np.array([len(grams) for _, grams in vocabulary])
-        flat = np.array([x for _, grams in vocabulary for x in grams])
+        names, flat, sizes = vocabulary
+        g["words"] = _sums(d_x[:, :DIM], self._known(names), len(p["words"]))
         g["grams"] = _sums(np.repeat(d_x[:, DIM:] / sizes[:, None], sizes, axis=0), flat, GRAMS)
         return g
 
@@ -158,8 +165,8 @@ def _batch(texts: list[list[bytes]]):
             masks.append(mask)
             owner.append(np.full(len(starts), i))
     if not ids:
-        return [], np.zeros((0, SPAN), np.int64), np.zeros((0, SPAN), bool), np.zeros(0, np.int64)
-    return [_features(w) for w in index], np.concatenate(ids), np.concatenate(masks), np.concatenate(owner)
+        return _features([]), np.zeros((0, SPAN), np.int64), np.zeros((0, SPAN), bool), np.zeros(0, np.int64)
+    return _features(list(index)), np.concatenate(ids), np.concatenate(masks), np.concatenate(owner)
 
 
 def train(rows: list[tuple[str | None, int]], epochs: int = 3, size: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
@@ -177,10 +184,10 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 3, size: int = 16, r
     seen: dict[str, np.ndarray] = {}
     grams = np.zeros((GRAMS, 2))
     for words, y in data:
-        feats = [_features(w) for w in set(words)]
-        for w in {w for w, _ in feats}:
+        names, flat, _ = _features(list(set(words)))
+        for w in set(names):
             seen.setdefault(w, np.zeros(2))[y] += 1
-        grams[list({x for _, g in feats for x in g}), y] += 1
+        grams[np.unique(flat), y] += 1
     # a word of one or two rows would only name these rows
     named = sorted((w for w, c in seen.items() if c.sum() >= LEAST), key=lambda w: (-seen[w].sum(), w))[:MOST_WORDS]
     net = Network(seed, {w: i + 1 for i, w in enumerate(named)})
@@ -235,7 +242,7 @@ class Scorer:
             self.index.clear()
             new = list(dict.fromkeys(words))
         if new:
-            rows, at = self.net.project(self.net.embed([_features(w) for w in new])), len(self.index)
+            rows, at = self.net.project(self.net.embed(_features(new))), len(self.index)
             for d, t in self.table.items():
                 while len(t) < at + len(new):
                     t = np.concatenate([t, np.zeros_like(t)])
