@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.functions.columns import bucket_of
+from pitpanel.operators.boosting import Boost, fit_replicates
 from pitpanel.operators.checks import column_guard, purge_guard
+from pitpanel.operators.resampling import rank_auc, rank_ic
 from pitpanel.plans.ordered import exact_quantiles
+from pitpanel.session import materialize
 
 # Tree settings of the fitted models.
 TREES = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8}
@@ -123,19 +126,17 @@ def statistic_per_replicate(df: DataFrame, rep: str, values: list[str], fn) -> D
 
 
 def permutation_refit(train: DataFrame, valid: DataFrame, cols: list[str], y: str, permuted: DataFrame,
-                      key: list[str], reps: int, statistic, **over) -> list[float]:
-    """Refit on permuted labels per replicate and evaluate on the validation rows.
+                      key: list[str], reps: int = 200, statistic=None, settings: Boost = Boost()) -> DataFrame:
+    """Refit on permuted labels and evaluate on the validation rows, all replicates in one fit: ``(rep, stat)``.
 
-    Each fit is a distributed job; the loop only starts them. ``permuted`` has ``rep, key, y``.
+    ``permuted`` has ``rep, key, y``. ``statistic`` maps a frame ``(rep, y, score)`` to ``(rep, stat)``; by
+    default the rank correlation, or the area under the curve for ``settings.positive``. The number of jobs
+    follows trees and depth, not replicates.
     """
-    base, out = train.drop(y).persist(), []
-    try:
-        for r in range(reps):
-            rows = base.join(permuted.filter(F.col("rep") == r).select(*key, y), key)
-            model = fit_ranker(rows, cols, y, guard=False, **over)
-            out.append(statistic(model.score(valid)))
-    finally:
-        base.unpersist()
-    return out
-
-
+    forest = fit_replicates(train, cols, permuted, key, y, reps, settings)
+    scored = materialize(forest.score(valid, [y]))
+    if statistic:
+        return statistic(scored)
+    if settings.positive:
+        return rank_auc(scored, y, "score", ["rep"]).withColumnRenamed("auc", "stat")
+    return rank_ic(scored, "score", y, ["rep"]).withColumnRenamed("ic", "stat")

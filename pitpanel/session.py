@@ -64,7 +64,24 @@ def materialize(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(table: DataFrame | None) -> None:
+    """Delete a table of ``materialize`` whose readers have all been written themselves.
+
+    Its shuffle files go when the JVM collects its plan, as after ``spark.cleaner.periodicGC.interval``; this asks for it now.
+    """
+    path = getattr(table, "_written_to", None)
+    if path is None:
+        return
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    jvm.System.gc()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -80,12 +80,9 @@ def _(spark, sf):
 def _(spark, sf):
     x = materialize(timed(spark, sf).select("t", "doc_id", "y", F.col("score").alias("F02_size"),
                                             F.col("quality").cast("double").alias("F05_lines")))
-    perm = materialize(rs.shuffle_permute(x, ["t", "doc_id"], "y", 2, 11, time_bucket("t", 60 * DAY), ["doc_id"]))
-
-    def statistic(scored):
-        return rs.rank_ic(scored, "y", "score").take(1)[0]["ic"]
-    vals = models.permutation_refit(x, x, ["F02_size", "F05_lines"], "y", perm, ["doc_id"], 2, statistic, maxIter=3)
-    return spark.createDataFrame(list(enumerate(vals)), "rep bigint, ic double")
+    perm = rs.shuffle_permute(x, ["t", "doc_id"], "y", 200, 11, time_bucket("t", 60 * DAY), ["doc_id"])
+    return models.permutation_refit(x, x, ["F02_size", "F05_lines"], "y", perm, ["doc_id"], settings=models.Boost(trees=10)).select(
+        "rep", F.col("stat").alias("ic"))
 
 
 @query("udf_surface", """SELECT l_returnflag AS grp, round(avg(l_quantity), 6) AS stat,
