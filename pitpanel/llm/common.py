@@ -9,9 +9,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitpanel.session import ensure_utc, materialize, scratch_path
+from pitpanel.session import ensure_utc, materialize, release, scratch_path
 
-__all__ = ["WordHashes", "column_view", "join_groups", "materialize", "mix64", "numbered", "prepare", "running_before", "scratch_path",
+__all__ = ["WordHashes", "column_view", "join_groups", "materialize", "mix64", "numbered", "prepare", "release", "running_before", "scratch_path",
            "shuffle_partitions"]
 
 SPACE = r"[\x20\x09-\x0D]+"

@@ -4,8 +4,8 @@ Two sets with similarity of at least 4/5 differ in at most a ninth of the sum of
 names its first ``d + 1`` shingles in one order that all sets share, ``d`` being the most it may lack
 of a partner, so that partners name one in common. The order puts shingles of many sets last: a
 passage that many documents share is named only where there's little else. Sets meet in tiles of one
-(band of sizes, shingle). Tiles are first linked through a few centres, then only members still apart
-are compared, by bitmaps and then exactly. The method loses no pair (up to 64-bit hashes of shingles).
+(band of sizes, shingle). Tiles are first linked through a few centres, then only members of tiles of
+one centre that are still apart are compared, by bitmaps and then exactly. The method loses no pair (up to 64-bit hashes of shingles).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_view, join_groups, materialize, mix64, prepare
+from .common import WordHashes, column_view, join_groups, materialize, mix64, prepare, release
 from .fertility import WINDOW, window_hashes
 
 SMALL = 32  # sizes below are one band
@@ -225,11 +225,11 @@ def _centred(rows: DataFrame) -> DataFrame:
         walk, "tile bigint, set_id bigint, centre bigint")
 
 
-def _check(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b): bitmaps first, arrays of the rest."""
-    def sides(pairs, col):
-        a = kept.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col(col).alias("xa"))
-        b = kept.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col(col).alias("xb"))
+def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones of distinct pairs (a, b): bitmaps first; arrays are fetched for what is left only."""
+    def sides(pairs, table, col):
+        a = table.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col(col).alias("xa"))
+        b = table.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col(col).alias("xb"))
         return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb")
 
     def test(exactly):
@@ -243,8 +243,27 @@ def _check(pairs: DataFrame, kept: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
         return run
 
-    near = materialize(sides(pairs, "bits").mapInArrow(test(False), "a bigint, b bigint"))
-    return materialize(sides(near, "hashes").mapInArrow(test(True), "a bigint, b bigint"))
+    near = materialize(sides(pairs, kept, "bits").mapInArrow(test(False), "a bigint, b bigint"))
+    ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
+    arrays = _distinct(sets, ends, lambda h: h.tobytes(), "hashes")
+    return materialize(sides(near, arrays, "hashes").mapInArrow(test(True), "a bigint, b bigint"))
+
+
+def _distinct(sets: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """(set_id, n_shingles, ``name``) of the ``wanted`` sets, once each; copies shrink in their tasks before the shuffle."""
+    def one_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = [x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            made = [form(np.frombuffer(x, "<u8")) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], ["set_id", "n_shingles", name])
+
+    rows = sets.where("set_id IS NOT NULL").select("set_id", "n_shingles", "hashes").join(wanted, "set_id", "left_semi")
+    return rows.mapInArrow(one_per_task, f"set_id bigint, n_shingles bigint, {name} binary").groupBy("set_id", "n_shingles").agg(
+        F.first(name).alias(name))
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -294,24 +313,26 @@ def near_pairs(sizes: np.ndarray, bits: list[bytes], other: Callable[[int, np.nd
 def _apart(multi: DataFrame, roots: DataFrame, kept: DataFrame) -> DataFrame:
     """Pairs (a, b) of one tile in different components whose bitmaps leave room.
 
-    The members of a tile's largest component aren't compared with each other: they and the others
-    are dealt into blocks of their own, and every pair of blocks that has others in it is one group.
+    A set is in many tiles with the same others, and most of them have the same centre. So the members of
+    all tiles of a centre are one group, in which a set stands once; the centre itself was compared before.
+    The members of a group's largest component aren't compared with each other: they and the others
+    are dealt into blocks of their own, and every pair of blocks that has others in it is one cell.
     """
-    rows = multi.select("tile", "set_id").union(multi.select("tile", F.col("centre").alias("set_id"))).distinct()
-    rows = materialize(rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-    by_root = rows.groupBy("tile", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("tile").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    rooted = multi.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = materialize(rooted.withColumn("root", F.coalesce("root", "set_id")))
+    by_root = rows.groupBy("centre", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("centre").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = materialize(mixed.where("roots > 1").select(
-        "tile", "n", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / TILE).cast("int").alias("mains"),
+        "centre", "n", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / TILE).cast("int").alias("mains"),
         F.ceil((F.col("n") - F.col("main.n")) / TILE).cast("int").alias("others")))
-    members = (join_groups(rows, mixed, "tile", "n").withColumn("in_main", F.col("root") == F.col("main"))
+    members = (join_groups(rows, mixed, "centre", "n").withColumn("in_main", F.col("root") == F.col("main"))
                .withColumn("home", F.pmod(F.xxhash64("set_id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
                .join(kept.select("set_id", "n_shingles", "bits"), "set_id"))
     cells = F.expr("""CASE WHEN in_main THEN transform(sequence(0, others - 1), x -> struct(-1 - home AS i, x AS j))
         ELSE concat(transform(sequence(0, mains - 1), x -> struct(-1 - x AS i, home AS j)),
                     transform(sequence(0, others - 1), x -> struct(least(home, x) AS i, greatest(home, x) AS j))) END""")
     dealt = members.withColumn("cell", F.explode(cells)).select(
-        "tile", "cell.i", "cell.j", "in_main", "home", "set_id", "root", "n_shingles", "bits")
+        "centre", "cell.i", "cell.j", "in_main", "home", "set_id", "root", "n_shingles", "bits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, 3):
@@ -328,7 +349,7 @@ def _apart(multi: DataFrame, roots: DataFrame, kept: DataFrame) -> DataFrame:
                 pair = np.sort(ids[np.array(found)], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    return (dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    return (dealt.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
             .mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
@@ -342,32 +363,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialize(_sets(column_view(docs, doc_id=id_col, text=text_col)))
     classes = materialize(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    multi = materialize(_centred(_tile_rows(sets, frequent(sets))))
+    multi = materialize(_centred(_tile_rows(sets, frequent(sets))).select("centre", "set_id").distinct())
     wanted = multi.select("set_id").union(multi.select("centre")).distinct()
-
-    def one_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            new = [x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            batch = batch.filter(pa.array(new, pa.bool_()))
-            bits = [bitmap(np.frombuffer(x, "<u8")) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], ["set_id", "n_shingles", "hashes", "bits"])
-
-    distinct = sets.where("set_id IS NOT NULL").select("set_id", "n_shingles", "hashes").mapInArrow(
-        one_per_task, "set_id bigint, n_shingles bigint, hashes binary, bits binary")
-    kept = materialize(distinct.join(wanted, "set_id", "left_semi").groupBy("set_id", "n_shingles").agg(
-        F.first("hashes").alias("hashes"), F.first("bits").alias("bits")))
+    kept = materialize(_distinct(sets, wanted, bitmap, "bits"))
     pairs = multi.select(F.least("centre", "set_id").alias("a"), F.greatest("centre", "set_id").alias("b")).distinct()
-    edges = _check(pairs, kept)
+    edges = _check(pairs, kept, sets)
     roots = materialize(smallest_reachable(edges))
-    more = _check(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"), kept)
+    apart = materialize(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"))
+    more = _check(apart, kept, sets)
+    rows = materialize(sets.select("doc_id", "n_shingles", "set_id"))
+    for table in (sets, kept):
+        release(table)
     roots = materialize(smallest_reachable(materialize(edges.union(more))))
     named = classes.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))
     found = materialize(join_groups(named, materialize(smallest), "root", "classes").select("set_id", "component_id", "rows"))
-    rows = sets.select("doc_id", "n_shingles", "set_id")
     some = join_groups(rows.where("set_id IS NOT NULL"), found, "set_id", "rows")
     none = rows.where("set_id IS NULL").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", "n_shingles", "component_id"]
