@@ -86,6 +86,18 @@ def sortino(df: DataFrame, by: list[str], r: str, periods: float = 1.0) -> DataF
             .select(*by, sortino_of(F.col("_m"), F.col("_d"), periods).alias("sortino")))
 
 
+def compounded(r: Column, part: Column) -> Column:
+    """Product of ``1 + r`` over the rows of ``part``, less 1; 0 without rows.
+
+    Sizes are summed as logarithms, so no partial product leaves the range of a double. A curve that
+    crosses zero has factors below zero; their number gives the sign, and a factor of zero makes it zero.
+    """
+    factor = F.when(part, 1 + r)
+    size = F.exp(F.coalesce(F.sum(F.ln(F.abs(factor))), F.lit(0.0)))
+    signed = F.when(F.pmod(F.count_if(factor < 0), F.lit(2)) == 1, -size).otherwise(size)
+    return F.when(F.count_if(factor == 0) > 0, F.lit(0.0)).otherwise(signed) - 1
+
+
 def return_metrics(curve: DataFrame, by: list[str], t: str, equity: str,
                    p: Params = DEFAULTS, bucket_ms: int = 30 * DAY) -> DataFrame:
     """Net return, Sharpe, Sortino, Calmar, mean of the worst twentieth, product of halves."""
@@ -93,14 +105,11 @@ def return_metrics(curve: DataFrame, by: list[str], t: str, equity: str,
     placed = with_position(rets, by, [t], time_bucket(t, bucket_ms), "_i")
     n = rets.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     half = F.call_function("div", F.col("_n"), F.lit(2).cast("bigint"))
-    log1p = F.ln(1 + F.col("ret"))
     agg = (placed.join(n, by).groupBy(*by).agg(
         F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"),
         F.avg(downside(F.col("ret"))).alias("dsq"), F.first("_n").alias("n_returns"),
-        (F.exp(F.coalesce(F.sum(F.when(F.col("_i") < half, log1p)), F.lit(0.0))) - 1)
-        .alias("first_half"),
-        (F.exp(F.coalesce(F.sum(F.when(F.col("_i") >= half, log1p)), F.lit(0.0))) - 1)
-        .alias("second_half")))
+        compounded(F.col("ret"), F.col("_i") < half).alias("first_half"),
+        compounded(F.col("ret"), F.col("_i") >= half).alias("second_half")))
     ends = curve.groupBy(*by).agg(F.min_by(equity, t).alias("e0"), F.max_by(equity, t).alias("e1"))
     dd = max_drawdown(curve, by, t, equity, bucket_ms=bucket_ms)
     tail = tail_mean(rets, by, "ret")

@@ -258,6 +258,13 @@ def _(spark, sf):
     return reports.sortino(rets, ["arm"], "ret", DEFAULTS.periods_per_year).select("arm", r6("sortino", "sortino"))
 
 
+def compounded_sql(part: str) -> str:
+    """Product of 1 + ret over ``part``, less 1: signs counted, sizes as logarithms."""
+    return f"""CASE WHEN count(*) FILTER ({part} AND 1 + ret = 0) > 0 THEN 0 ELSE
+  (1 - 2 * (count(*) FILTER ({part} AND 1 + ret < 0) % 2)) * exp(coalesce(sum(ln(abs(1 + ret))) FILTER ({part} AND 1 + ret <> 0), 0))
+  END - 1"""
+
+
 @query("return_metrics", f"""WITH {CURVE}, {DD}, {RETS}, rn AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY t)
   - 1 AS i, count(*) OVER (PARTITION BY arm) AS n, row_number() OVER (PARTITION BY arm ORDER BY ret) AS rk FROM rets),
   e AS (SELECT arm, arg_min(equity, t) AS e0, arg_max(equity, t) AS e1 FROM curve GROUP BY 1)
@@ -266,8 +273,7 @@ def _(spark, sf):
   round(avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(2191.5), 6) AS sortino,
   round(any_value((e1 / e0 - 1) / max_drawdown), 6) AS calmar,
   round(avg(ret) FILTER (rk <= greatest(1, n // 20)), 9) AS tail_mean,
-  round(exp(sum(ln(1 + ret)) FILTER (i < n // 2)) - 1, 9) AS first_half,
-  round(exp(sum(ln(1 + ret)) FILTER (i >= n // 2)) - 1, 9) AS second_half
+  round({compounded_sql('i < n // 2')}, 9) AS first_half, round({compounded_sql('i >= n // 2')}, 9) AS second_half
   FROM rn JOIN dd USING (arm) JOIN e USING (arm) GROUP BY rn.arm""")
 def _(spark, sf):
     m = reports.return_metrics(materialize(curve(spark, sf)), ["arm"], "t", "equity", bucket_ms=BUCKET)

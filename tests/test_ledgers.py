@@ -177,6 +177,17 @@ def test_report_edge_cases(spark):
     assert one["max_drawdown"] == 0.25
 
 
+def test_halves_of_a_curve_that_crosses_zero(spark):
+    paths = {"cross": (10.0, -5.0, -8.0, 4.0, 6.0, 3.0, -1.0), "up": (1.0, 2.0, 3.0), "two": (4.0, 5.0), "zero": (2.0, 4.0, 6.0, 0.0)}
+    curve = spark.createDataFrame([(k, i, v) for k, path in paths.items() for i, v in enumerate(path)],
+                                  "arm string, t bigint, equity double")
+    m = {r["arm"]: r for r in reports.return_metrics(curve, ["arm"], "t", "equity", bucket_ms=2).collect()}
+    for k, path in paths.items():
+        half = (len(path) - 1) // 2
+        assert abs(m[k]["first_half"] - (path[half] / path[0] - 1)) < 1e-12
+        assert abs(m[k]["second_half"] - (path[-1] / path[half] - 1)) < 1e-12
+
+
 def test_divergence_and_guards(spark):
     rows = [(i, "x", 1.0 * i) for i in range(50)]
     a = spark.createDataFrame(rows, "t bigint, kind string, v double")
