@@ -95,13 +95,22 @@ def rotation_offsets(df: DataFrame, t: str, reps: int, seed: int,
     return picks.join(placed, "_k").select("rep", "j", "shift")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows about to multiply, over as many tasks as shuffles have.
+
+    The number is given: adaptive execution joins the small partitions of a shuffle that leaves it open, and
+    one task would then write all replicates.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _chunks(placed: DataFrame, n: int, y: str, keep: list[str], length: int) -> tuple[DataFrame, DataFrame]:
     """Vectors of ``length`` rows by position, and of the labels of that stretch and the next one.
 
     Labels wrap around, so any ``length`` labels in a row lie in the vector of their first one's chunk.
     """
     last = (n - 1) // length
-    rows = placed.groupBy(div("_i", length).alias("_c")).agg(
+    rows = dealt(placed.withColumn("_c", div("_i", length)), "_c").groupBy("_c").agg(
         F.sort_array(F.collect_list(F.struct("_i", *keep))).alias("_rows"))
     # a label stands wherever i + k n lies within the stretches, once in its own chunk and once in the one before
     turns = F.sequence(F.lit(0), F.lit(((last + 2) * length - 1) // n))
@@ -128,7 +137,8 @@ def rotated_chunks(df: DataFrame, order: list[str], y: str, offsets: DataFrame,
     start = F.pmod(F.col("_c") * length + F.col("_o.shift"), F.lit(n))
     spread = rows.withColumn("_s", shifts).withColumn("_o", F.explode("_s")).select(
         F.col("_o.rep").alias("rep"), "_rows", div(start, length).alias("_q"), F.pmod(start, F.lit(length)).cast("int").alias("_at"))
-    return spread.join(labels, "_q").select("rep", "_rows", F.slice("_labels", F.col("_at") + 1, F.size("_rows")).alias("_ys"))
+    # sizes are estimated without the replicates, so Spark would send ``spread`` to all; labels have one row per _q
+    return dealt(spread, "_q").join(labels.hint("shuffle_hash"), "_q").select("rep", "_rows", F.slice("_labels", F.col("_at") + 1, F.size("_rows")).alias("_ys"))
 
 
 def rotate_labels(df: DataFrame, order: list[str], t: str, y: str, offsets: DataFrame,

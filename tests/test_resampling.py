@@ -244,3 +244,40 @@ def test_scalars(spark):
         normalize_epoch(F.lit(1_700_000_000_000)).alias("e"), erf(F.lit(-0.7)).alias("f")).first()
     assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (2, -1.0, 0.5, 1_700_000_000_000, 1_700_000_000_000)
     assert abs(r["f"] - math.erf(-0.7)) < 2e-7
+
+
+def _sent_to_all(df):
+    """Whether rows multiplied by an explode lie below a broadcast in the plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                if "Generate explode" in lines[j]:
+                    return True
+    return False
+
+
+def test_replicates_are_never_broadcast(spark):
+    df, _ = _labels(spark)
+    offs = spark.createDataFrame([(0, 3), (1, 70)], "rep bigint, shift bigint")
+    order, b = ["t", "key"], time_bucket("t", 10 * DAY)
+    assert not _sent_to_all(rs.rotate_labels(df, order, "t", "y", offs, b, ["key"], 8))
+    assert not _sent_to_all(rs.rotated_chunks(df, order, "y", offs, b, ["key"], 8))
+    assert not _sent_to_all(rs.block_permute(df, ["key"], "t", "y", 5, 3, ["key"]))
+    assert not _sent_to_all(rs.shuffle_permute(df, order, "y", 5, 3, b, ["key"]))
+
+
+def test_bootstrap_weights_are_never_broadcast(spark, monkeypatch):
+    df, _ = _labels(spark)
+    seen, write = [], rs.materialize
+
+    def watched(x):
+        seen.append(_sent_to_all(x))
+        return write(x)
+    monkeypatch.setattr(rs, "materialize", watched)
+    x = df.withColumn("p", F.col("y") + F.col("key") / 10).withColumn("s", F.col("p"))
+    assert rs.learnability(x, "t", "key", "y", "p", "s", 4, 6, 3).count() == 1
+    assert seen and not any(seen)
