@@ -191,13 +191,16 @@ def block_permute(df: DataFrame, order: list[str], t: str, y: str, reps: int, se
     anchor = bounds.select(F.min(t)).scalar()
     b = bounds.withColumn("_a", anchor).withColumn("_blk", div(F.col(t) - F.col("_a"), length))
     b = with_position(b, [], [t], time_bucket(t, 90 * DAY), "_slot")
-    rep = b.select(replicates(reps).alias("rep"), F.col(t).alias("_src_t"), "_blk", "_len")
+    b = materialize(b)
+    rep = dealt(b, "_slot").select(replicates(reps).alias("rep"), F.col(t).alias("_src_t"), "_blk", "_len")
     # boundaries per replicate: bounded by the calendar
     w = W.partitionBy("rep").orderBy(draw(seed, "rep", "_blk"), "_blk", "_src_t")
     seq = rep.withColumn("_slot", F.row_number().over(w).cast("bigint") - 1)
     slots = b.select("_slot", F.col(t))
     ranked = with_position(with_value_bucket(df, order[0]), [t], order, F.col("_vb"), "_r").drop("_vb")
-    target = (ranked.select(t, "_r", *keep).join(slots, t).join(seq.select("rep", "_slot", "_src_t", "_len"), "_slot")
+    ranked = materialize(ranked)
+    # sizes are estimated without the replicates: left to them, Spark would send all replicates to every task
+    target = (ranked.select(t, "_r", *keep).join(slots, t).join(seq.select("rep", "_slot", "_src_t", "_len").hint("merge"), "_slot")
               .withColumn("_m", F.pmod(F.col("_r"), F.col("_len"))))
     src = ranked.select(F.col(t).alias("_src_t"), F.col("_r").alias("_m"), F.col(y).alias(y))
     return target.join(src, ["_src_t", "_m"]).select("rep", *keep, y)
