@@ -387,7 +387,9 @@ def learnability(df: DataFrame, t: str, key: str, y: str, prob: str, score: str,
     length = F.greatest(F.lit(1), F.ceil(F.col("u") * (p.block_ms // DAY) / span))
     draws = block_draws(one.select("u").scalar(), one.select(length).scalar(), boots, seed + 1, df.sparkSession)
     weights = draws.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
-    boot = materialize(weights.join(bounds, "idx").join(base, t).select("rep", y, prob, score, "w"))
+    # sizes are estimated without the replicates: the draws must not be sent to every task, the rows may
+    placed = materialize(base.join(bounds, t).select("idx", y, prob, score))
+    boot = materialize(weights.hint("merge").join(placed, "idx").groupBy("rep", y, prob, score).agg(F.sum("w").alias("w")))
     auc0, ic0 = rank_auc(base, y, prob), rank_ic(base, y, score)
     b_auc = materialize(rank_auc(boot, y, prob, ["rep"], "w", base))
     b_ic = materialize(rank_ic(boot, y, score, ["rep"], "w", base))
