@@ -203,7 +203,7 @@ def block_permute(df: DataFrame, order: list[str], t: str, y: str, reps: int, se
     target = (ranked.select(t, "_r", *keep).join(slots, t).join(seq.select("rep", "_slot", "_src_t", "_len").hint("merge"), "_slot")
               .withColumn("_m", F.pmod(F.col("_r"), F.col("_len"))))
     src = ranked.select(F.col(t).alias("_src_t"), F.col("_r").alias("_m"), F.col(y).alias(y))
-    return target.join(src, ["_src_t", "_m"]).select("rep", *keep, y)
+    return target.hint("merge").join(src, ["_src_t", "_m"]).select("rep", *keep, y)
 
 
 #: rounds of the permutation network; each sums a keyed draw of one half into the other
