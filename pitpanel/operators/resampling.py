@@ -6,11 +6,15 @@ per time step, so bounded by the calendar) and every statistic is a grouped aggr
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitpanel.functions.columns import div, draw, normal_cdf
+from pitpanel.functions.columns import DRAW_M1, DRAW_M2, DRAW_MOD, div, draw, normal_cdf
 from pitpanel.operators.reports import downside, sortino_of
 from pitpanel.params import DAY, DEFAULTS, Params
 from pitpanel.plans.ordered import (mid_ranks, running, time_bucket, with_position,
@@ -240,19 +244,67 @@ def permuted(i: Column, n: Column, rep: Column, seed: int, rounds: int = ROUNDS,
     return F.when((i >= 0) & (i < n), F.get(F.transform(F.array(network(i)), inside), 0))
 
 
+def _positions(n: int, reps: int, seed: int, rounds: int = ROUNDS):
+    """``permuted`` for arrays, nested so that it travels with the job: images of ``i`` for every replicate, a row each."""
+    m1, m2, mod = DRAW_M1, DRAW_M2, DRAW_MOD
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1 if n else 1)
+    b = (n + a - 1) // a
+
+    def mix(x):
+        x = x * m1 % mod
+        x ^= x >> 13
+        x = x * m2 % mod
+        return x ^ (x >> 11)
+
+    # the first half of a draw depends on round and replicate only
+    first = mix((np.arange(reps * rounds, dtype=np.int64).reshape(reps, rounds) + seed) % mod)
+
+    def network(x, rep):
+        high, low = x // b, x % b
+        for k in range(rounds):
+            if k % 2 == 0:
+                high = (high + mix((first[rep, k] + low) % mod)) % a
+            else:
+                low = (low + mix((first[rep, k] + high) % mod)) % b
+        return high * b + low
+
+    def images(i):
+        rep = np.broadcast_to(np.arange(reps), (len(i), reps))
+        x = network(np.broadcast_to(i[:, None], rep.shape), rep)
+        while (out := np.nonzero(x >= n))[0].size:
+            x[out] = network(x[out], rep[out])
+        return x
+
+    return images
+
+
 def shuffle_permute(df: DataFrame, order: list[str], y: str, reps: int, seed: int, bucket: Column,
                     keep: list[str]) -> DataFrame:
     """Plain label permutation: the source position is computed from position and replicate.
 
-    Nothing is sorted per replicate; one join brings the labels.
+    Nothing is sorted per replicate; one join brings the labels. The network runs on arrays: as a column
+    it is interpreted, row by row and replicate by replicate.
     """
     placed = materialize(with_position(df, [], order, bucket, "_i").select("_i", F.col(y).alias("_label"), *keep))
+    images = _positions(placed.count(), reps, seed)
+
+    def draw_all(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), reps))
+                each = pa.array(np.tile(np.arange(reps, dtype=np.int64), batch.num_rows))
+                src = images(batch.column(0).to_numpy()).ravel()
+                yield pa.RecordBatch.from_arrays([each, pa.array(src), *[c.take(rows) for c in batch.columns[1:]]],
+                                                 ["rep", "_src", *batch.schema.names[1:]])
+
     # the rows are few against their replicates: dealt out again before they multiply
-    drawn = placed.repartition("_i").select(*keep, "_i", replicates(reps).alias("rep"))
-    n = F.lit(placed.count()).cast("bigint")
-    source = drawn.select("rep", *keep, permuted(F.col("_i"), n, F.col("rep"), seed).alias("_src"))
+    rows = dealt(placed.select("_i", *keep), "_i")
+    schema = rows.select(F.col("_i").alias("rep"), F.col("_i").alias("_src"), *keep).schema
+    source = rows.mapInArrow(draw_all, schema)
     labels = placed.select(F.col("_i").alias("_src"), F.col("_label").alias(y))
-    return source.join(labels, "_src").select("rep", *keep, y)
+    # sizes are estimated without the replicates; ``labels`` has one row per position
+    return source.join(labels.hint("shuffle_hash"), "_src").select("rep", *keep, y)
 
 
 # ---------------------------------------------------------------- bootstrap

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,18 @@ def test_bootstrap_weights_are_never_broadcast(spark, monkeypatch):
     x = df.withColumn("p", F.col("y") + F.col("key") / 10).withColumn("s", F.col("p"))
     assert rs.learnability(x, "t", "key", "y", "p", "s", 4, 6, 3).count() == 1
     assert seen and not any(seen)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 4097])
+def test_permutation_on_arrays_equals_the_column(spark, n):
+    x = spark.range(n).crossJoin(spark.range(5).withColumnRenamed("id", "rep"))
+    want = x.select("id", "rep", rs.permuted(F.col("id"), F.lit(n), F.col("rep"), 11).alias("to")).collect()
+    got = rs._positions(n, 5, 11)(np.arange(n))
+    assert all(got[r["id"], r["rep"]] == r["to"] for r in want)
+
+
+def test_replicates_are_drawn_in_many_tasks(spark):
+    df, _ = _labels(spark)
+    plan = rs.shuffle_permute(df, ["t", "key"], "y", 5, 3, time_bucket("t", 10 * DAY), ["key"])._jdf.queryExecution()
+    # a number of partitions that adaptive execution must keep
+    assert "REPARTITION_BY_NUM" in plan.executedPlan().toString()
