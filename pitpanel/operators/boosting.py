@@ -129,6 +129,23 @@ class Forest:
             *keep, F.posexplode("_scores").alias("_rep", out)).select(F.col("_rep").cast("bigint").alias("rep"), *keep, out)
 
 
+def _vectors(reps: int):
+    """Lists of (replicate, label) as one vector per row, NULL where a replicate has none."""
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                place = row * reps + b.column(2).flatten().to_numpy(zero_copy_only=False)
+                if len(place) and np.bincount(place).max() > 1:
+                    raise ValueError("a row has two labels of one replicate")
+                y, none = np.zeros(b.num_rows * reps), np.ones(b.num_rows * reps, bool)
+                y[place], none[place] = b.column(3).flatten().to_numpy(zero_copy_only=False), False
+                ends = pa.array(np.arange(b.num_rows + 1) * reps, pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.ListArray.from_arrays(ends, pa.array(y, mask=none))], ["_row", "_bins", "_y"])
+    return dense
+
+
 def _level(rows: DataFrame, s: Boost, reps: int, kept: list[dict], tree: dict, number: int, level: int, k: int):
     """Best split of every (replicate, node) of one level: unit, gain, feature, bin, sums left and whole."""
     descend, advance, drawn, matrix, slices = _machine(s, reps)
@@ -185,11 +202,13 @@ def fit_replicates(train: DataFrame, cols: list[str], labels: DataFrame, key: li
     and every score is 0 (0.5 for ``positive``).
     """
     edges = bin_edges(train, cols, s.bins)
-    by_rep = labels.where(F.col("rep").between(0, reps - 1) & ~F.isnan(F.col(y).cast("double"))).groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("rep", F.col(y).cast("double").alias("y")))).alias("_m"))
-    ys = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.col("_m")[r.cast("bigint")])
-    labelled = materialize(train.select(*key, binned(edges).alias("_bins")).join(by_rep, key).select(
-        F.xxhash64(*key).alias("_row"), "_bins", ys.alias("_y")))
+    by_rep = labels.where(F.col("rep").between(0, reps - 1) & F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))).groupBy(*key).agg(
+        F.collect_list(F.col("rep").cast("int")).alias("_reps"), F.collect_list(F.col(y).cast("double")).alias("_ys"))
+    # many labels of few values are a small file, which one task would read: dealt over as many files as shuffles have tasks
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = train.select(*key, binned(edges).alias("_bins")).join(by_rep, key).select(
+        F.xxhash64(*key).alias("_row"), "_bins", "_reps", "_ys").repartition(parts, "_row")
+    labelled = materialize(labelled.mapInArrow(_vectors(reps), "_row bigint, _bins array<smallint>, _y array<double>"))
     ends = labelled.agg(F.min(F.array_min("_y")).alias("low"), F.max(F.array_max("_y")).alias("high")).first()
     low = ends["low"] or 0.0
     span = ((ends["high"] or 0.0) - low) or 1.0
