@@ -225,28 +225,52 @@ def _centred(rows: DataFrame) -> DataFrame:
         walk, "tile bigint, set_id bigint, centre bigint")
 
 
-def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b): bitmaps first; arrays are fetched for what is left only."""
-    def sides(pairs, table, col):
-        a = table.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col(col).alias("xa"))
-        b = table.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col(col).alias("xb"))
-        return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb")
-
-    def test(exactly):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, _, na, xa, nb, xb = (c.to_pylist() for c in batch.columns)
-                if exactly:
-                    ok = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(xa, xb, strict=True)]
-                else:
-                    ok = [may_link(*r) for r in zip(na, xa, nb, xb, strict=True)]
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-        return run
-
-    near = materialize(sides(pairs, kept, "bits").mapInArrow(test(False), "a bigint, b bigint"))
+def _step(df: DataFrame) -> DataFrame:
+    """``df`` written; the shuffle files of the job go now, not when the driver next happens to collect its plans."""
+    table = materialize(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
+def _sides(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
+    a = table.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col(col).alias("xa"))
+    b = table.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col(col).alias("xb"))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb")
+
+
+def _passing(sides: DataFrame, test: Callable[..., bool]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [test(*r) for r in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return _step(sides.mapInArrow(run, "a bigint, b bigint"))
+
+
+def _exact(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones of ``near``; arrays are fetched for its ends only, once each."""
     ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
-    arrays = _distinct(sets, ends, lambda h: h.tobytes(), "hashes")
-    return materialize(sides(near, arrays, "hashes").mapInArrow(test(True), "a bigint, b bigint"))
+    arrays = _step(_distinct(sets, ends, lambda h: h.tobytes(), "hashes"))
+    found = _passing(_sides(near, arrays, "hashes"), lambda na, xa, nb, xb: linked(np.frombuffer(xa, "<u8"), np.frombuffer(xb, "<u8")))
+    release(arrays)
+    return found
+
+
+def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among distinct pairs (a, b) that give the components of all links among them.
+
+    Sizes decide first, then bitmaps, then arrays. Arrays are large, and a set has a near pair with each of
+    its centres: one pair of every set is compared first, then only pairs whose ends are still apart.
+    """
+    sized = _sides(pairs, kept.select("set_id", "n_shingles"), "n_shingles")
+    fit = _step(sized.where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "b"))
+    near = _passing(_sides(fit, kept, "bits"), may_link)
+    one = _exact(_step(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), sets)
+    roots = _step(smallest_reachable(one))
+    rooted = near
+    for end in ("a", "b"):
+        rooted = rooted.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    apart = rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return one.unionByName(_exact(_step(apart), sets))
 
 
 def _distinct(sets: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
@@ -319,7 +343,7 @@ def _apart(multi: DataFrame, roots: DataFrame, kept: DataFrame) -> DataFrame:
     are dealt into blocks of their own, and every pair of blocks that has others in it is one cell.
     """
     rooted = multi.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rows = materialize(rooted.withColumn("root", F.coalesce("root", "set_id")))
+    rows = _step(rooted.withColumn("root", F.coalesce("root", "set_id")))
     by_root = rows.groupBy("centre", "root").agg(F.count("*").alias("n"))
     mixed = by_root.groupBy("centre").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = materialize(mixed.where("roots > 1").select(
@@ -360,18 +384,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are their own component. A null id counts as largest. An empty table gives no row.
     """
     prepare(docs.sparkSession)
-    sets = materialize(_sets(column_view(docs, doc_id=id_col, text=text_col)))
-    classes = materialize(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
+    sets = _step(_sets(column_view(docs, doc_id=id_col, text=text_col)))
+    classes = _step(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    multi = materialize(_centred(_tile_rows(sets, frequent(sets))).select("centre", "set_id").distinct())
+    multi = _step(_centred(_tile_rows(sets, frequent(sets))).select("centre", "set_id").distinct())
     wanted = multi.select("set_id").union(multi.select("centre")).distinct()
-    kept = materialize(_distinct(sets, wanted, bitmap, "bits"))
+    kept = _step(_distinct(sets, wanted, bitmap, "bits"))
     pairs = multi.select(F.least("centre", "set_id").alias("a"), F.greatest("centre", "set_id").alias("b")).distinct()
     edges = _check(pairs, kept, sets)
-    roots = materialize(smallest_reachable(edges))
-    apart = materialize(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"))
+    roots = _step(smallest_reachable(edges))
+    apart = _step(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"))
     more = _check(apart, kept, sets)
-    rows = materialize(sets.select("doc_id", "n_shingles", "set_id"))
+    rows = _step(sets.select("doc_id", "n_shingles", "set_id"))
     for table in (sets, kept):
         release(table)
     roots = materialize(smallest_reachable(materialize(edges.union(more))))
