@@ -25,6 +25,7 @@ SMALL = 32  # sizes below are one band
 TILE = 512
 OFTEN = 64  # a shingle of fewer sets is not told from a rare one
 TABLE = 1 << 20  # most rows of the table of frequent shingles
+PLACES = 1 << 24  # places of the filter of wanted sets
 CHUNK = 1 << 22  # shingles counted at a time
 _GOLD = 0x9E3779B97F4A7C15  # fixed value
 _ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x7FFFFFFFFFFFFFFF)  # fixed values
@@ -249,10 +250,8 @@ def _passing(sides: DataFrame, test: Callable[..., bool]) -> DataFrame:
 def _exact(near: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of ``near``; arrays are fetched for its ends only, once each."""
     ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
-    arrays = _step(_distinct(sets, ends, lambda h: h.tobytes(), "hashes"))
-    found = _passing(_sides(near, arrays, "hashes"), lambda na, xa, nb, xb: linked(np.frombuffer(xa, "<u8"), np.frombuffer(xb, "<u8")))
-    release(arrays)
-    return found
+    arrays = _distinct(sets, ends, lambda h: h.tobytes(), "hashes")
+    return _passing(_sides(near, arrays, "hashes"), lambda na, xa, nb, xb: linked(np.frombuffer(xa, "<u8"), np.frombuffer(xb, "<u8")))
 
 
 def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
@@ -273,21 +272,40 @@ def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
     return one.unionByName(_exact(_step(apart), sets))
 
 
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """Bits of the places that ids of ``wanted`` hash to, in words of 32; 2 MB at any size."""
+    place = F.pmod(F.xxhash64("set_id"), F.lit(PLACES))
+    words = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, int(p % 32)))").alias("bits")).toArrow())
+    marks = np.zeros(PLACES // 32, np.uint32)
+    marks[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    return marks
+
+
 def _distinct(sets: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
-    """(set_id, n_shingles, ``name``) of the ``wanted`` sets, once each; copies shrink in their tasks before the shuffle."""
+    """(set_id, n_shingles, ``name``) of the ``wanted`` sets, once each.
+
+    Arrays are most of what there is: they take their form, copies shrink and most unwanted sets go in
+    the task that reads them, before the shuffle. The join drops the unwanted sets whose place is marked.
+    """
+    wanted = _step(wanted)
+    marks = sets.sparkSession.sparkContext.broadcast(_marks(wanted))
+
     def one_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            new = [x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()]
+            place = batch.column(3).to_numpy()
+            asked = (marks.value[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            new = [ok and x not in seen and not seen.add(x) for ok, x in zip(asked.tolist(), batch.column(0).to_pylist(), strict=True)]
             batch = batch.filter(pa.array(new, pa.bool_()))
             made = [form(np.frombuffer(x, "<u8")) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], ["set_id", "n_shingles", name])
 
-    rows = sets.where("set_id IS NOT NULL").select("set_id", "n_shingles", "hashes").join(wanted, "set_id", "left_semi")
-    return rows.mapInArrow(one_per_task, f"set_id bigint, n_shingles bigint, {name} binary").groupBy("set_id", "n_shingles").agg(
-        F.first(name).alias(name))
+    rows = sets.where("set_id IS NOT NULL").select("set_id", "n_shingles", "hashes", F.pmod(F.xxhash64("set_id"), F.lit(PLACES)).alias("place"))
+    formed = rows.mapInArrow(one_per_task, f"set_id bigint, n_shingles bigint, {name} binary")
+    return formed.join(wanted, "set_id", "left_semi").groupBy("set_id", "n_shingles").agg(F.first(name).alias(name))
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:

@@ -64,3 +64,21 @@ def test_shared_passages_and_split_tiles(spark, monkeypatch):
     rows += [(2000 + i, t + " z", 0) for i, (_, t, _) in enumerate(rows[1:240:3])]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
+
+
+def test_arrays_take_their_form_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(30)), 0) for i in range(20)], SCHEMA)
+    sets = jaccard.materialize(jaccard._sets(docs.select("doc_id", "text")))
+    wanted = sets.where("doc_id % 3 = 0").select("set_id").distinct()
+    kept = jaccard._distinct(sets, wanted, jaccard.bitmap, "bits")
+    want = {r[0] for r in wanted.collect()}
+    assert sorted(r["set_id"] for r in kept.collect()) == sorted(want)
+    lines = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    at = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    below = []
+    for i in range(at + 1, len(lines)):
+        if depth[i] <= depth[at]:
+            break
+        below.append(lines[i])
+    assert not any("Exchange" in x for x in below)
