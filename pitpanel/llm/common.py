@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pitpanel.session import ensure_utc, materialize, release, scratch_path
 
-__all__ = ["WordHashes", "column_view", "join_groups", "materialize", "mix64", "numbered", "prepare", "release", "running_before", "scratch_path",
-           "shuffle_partitions"]
+__all__ = ["WordHashes", "column_view", "join_groups", "marks", "materialize", "mix64", "numbered", "prepare", "release", "running_before", "scratch_path",
+           "shuffle_partitions", "with_mark"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,6 +100,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share:
     return first.unionByName(others)
 
 
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits): the long ``key`` of every row as one bit, 64 neighbouring keys a row."""
+    return keys.groupBy(F.shiftright(key, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, int({key} & 63)))").alias("bits"))
+
+
+def with_mark(rows: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``words`` of :func:`marks`."""
+    met = rows.join(words, F.shiftright(key, 6) == F.col("word"))
+    return met.where(F.expr(f"getbit(bits, int({key} & 63)) = 1")).drop("word", "bits")
+
+
 def running_before(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of its group that come before in ``order``.
 

@@ -11,14 +11,15 @@ one centre that are still apart are compared, by bitmaps and then exactly. The m
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_view, join_groups, materialize, mix64, prepare, release
+from .common import WordHashes, column_view, join_groups, marks, materialize, mix64, prepare, release, with_mark
 from .fertility import WINDOW, window_hashes
 
 SMALL = 32  # sizes below are one band
@@ -27,9 +28,10 @@ OFTEN = 64  # a shingle of fewer sets is not told from a rare one
 TABLE = 1 << 20  # most rows of the table of frequent shingles
 PLACES = 1 << 24  # places of the filter of wanted sets
 CHUNK = 1 << 22  # shingles counted at a time
+BATCH = "4m"  # bytes of a batch that a task passes to Python
 _GOLD = 0x9E3779B97F4A7C15  # fixed value
 _ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x7FFFFFFFFFFFFFFF)  # fixed values
-_WORDS = WordHashes()
+_WORDS = WordHashes(150_000)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -43,11 +45,11 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit per shingle by hash, in 8 times the power of two that holds the set's size (512 at least).
+    """A bit per shingle by hash, in twice the power of two that holds the set's size (512 at least).
 
-    So few bits are shared by chance, and a difference is seen nearly whole.
+    Sets that have little in common differ in twice the bits that a link may, so wider maps would only be moved.
     """
-    bits = 8 * max(64, 1 << (len(h) - 1).bit_length())
+    bits = 2 * max(256, 1 << (len(h) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -99,46 +101,87 @@ def tiles(h: np.ndarray, often: Counts = _NONE) -> np.ndarray:
         band += 1
 
 
-def frequent(sets: DataFrame) -> Counts:
+def _digest(h: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(h.astype("<u8").tobytes()) - (1 << 63) if len(h) else None
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """A row per document (doc_id, key, set_id, n_shingles, bits), and rows (shingle, times) for :func:`frequent`.
+
+    Arrays are several times the texts, so none is written: texts are read again where arrays are needed.
+    ``key`` finds the text again. A task counts ``CHUNK`` shingles of its sets at a time, copies left
+    out, and passes on those met three times.
+    """
+    names = ["doc_id", "key", "set_id", "n_shingles", "bits", "shingle", "times"]
+    types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, size = np.empty(CHUNK, np.uint64), 0
+
+        def batch_of(columns, n):
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        def counted():
+            h = held[:size]
+            h.sort()
+            values, n = np.unique(h[2:][h[2:] == h[:-2]], return_counts=True)
+            return batch_of([None] * 5 + [values.view(np.int64), n + 2], len(values))
+
+        for batch in batches:
+            ids, sizes, maps = [], [], []
+            for text in batch.column(1):
+                h = shingles(text.as_py())
+                sid = _digest(h)
+                ids.append(sid)
+                sizes.append(len(h))
+                maps.append(bitmap(h) if len(h) else None)
+                if sid is None or sid in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(sid)
+                while len(h):
+                    part, h = h[:CHUNK - size], h[CHUNK - size:]
+                    held[size:size + len(part)] = part
+                    size += len(part)
+                    if size == CHUNK:
+                        yield counted()
+                        size = 0
+            yield batch_of([batch.column(0), batch.column(2), ids, sizes, maps, None, None], len(ids))
+        if size:
+            yield counted()
+
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(
+        build, "doc_id bigint, key bigint, set_id bigint, n_shingles bigint, bits binary, shingle bigint, times bigint")
+
+
+def frequent(scanned: DataFrame) -> Counts:
     """Shingles of many sets with their counts, sorted; they only settle an order, so counts may be low.
 
-    Tasks count chunks of their shingles and pass on those met twice. A shingle in the table has more
-    than 1/``TABLE`` of all shingles of all sets, so the table has fewer than ``TABLE`` rows at any size.
+    A shingle in the table has more than 1/``TABLE`` of all shingles of all documents, so the table has
+    fewer than ``TABLE`` rows at any size.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def repeated():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
-
-        for _, raw in _unseen(batches):
-            held.append(np.frombuffer(raw, "<u8"))
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield repeated()
-                held, size = [], 0
-        if held:
-            yield repeated()
-
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    table = (sets.where("set_id IS NOT NULL").select("set_id", "hashes").mapInArrow(count, "shingle bigint, n bigint")
-             .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > max(OFTEN, total // TABLE)).toArrow())
+    total = scanned.agg(F.sum("n_shingles")).first()[0] or 0
+    table = (scanned.where("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("n"))
+             .where(F.col("n") > max(OFTEN, total // TABLE)).toArrow())
     shingle, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(shingle)
     return shingle[order], n[order]
 
 
-def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows (set_id, hashes) of sets that the task doesn't remember, so copies don't pile up."""
+def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(set_id, shingles) of texts whose sets the task doesn't remember, so copies don't pile up."""
     seen: set[int] = set()
     for batch in batches:
-        for sid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if sid not in seen:
+        for text in batch.column(0):
+            h = shingles(text.as_py())
+            sid = _digest(h)
+            if sid is not None and sid not in seen:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sid)
-                yield sid, raw
+                yield sid, h
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
@@ -164,7 +207,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 h = shingles(text.as_py())
                 raws.append(h.astype("<u8").tobytes())
-                ids.append(xxhash.xxh3_64_intdigest(raws[-1]) - (1 << 63) if len(h) else None)
+                ids.append(_digest(h))
                 sizes.append(len(h))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                                               pa.array(raws, pa.binary())], ["doc_id", "set_id", "n_shingles", "hashes"])
@@ -172,9 +215,9 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(build, "doc_id bigint, set_id bigint, n_shingles bigint, hashes binary")
 
 
-def _tile_rows(sets: DataFrame, often: Counts) -> DataFrame:
+def _tile_rows(docs: DataFrame, often: Counts) -> DataFrame:
     """(tile, set_id) of every set, in batches."""
-    shared = sets.sparkSession.sparkContext.broadcast(often)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, size = [], [], 0
@@ -182,8 +225,8 @@ def _tile_rows(sets: DataFrame, often: Counts) -> DataFrame:
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["tile", "set_id"])
 
-        for sid, raw in _unseen(batches):
-            k = tiles(np.frombuffer(raw, "<u8"), shared.value)
+        for sid, h in _unseen(batches):
+            k = tiles(h, shared.value)
             keys.append(k.view(np.int64))
             ids.append(np.full(len(k), sid, np.int64))
             size += len(k)
@@ -193,7 +236,7 @@ def _tile_rows(sets: DataFrame, often: Counts) -> DataFrame:
         if keys:
             yield rows()
 
-    return sets.where("set_id IS NOT NULL").select("set_id", "hashes").mapInArrow(emit, "tile bigint, set_id bigint")
+    return docs.select("text").mapInArrow(emit, "tile bigint, set_id bigint")
 
 
 def _centred(rows: DataFrame) -> DataFrame:
@@ -226,6 +269,21 @@ def _centred(rows: DataFrame) -> DataFrame:
         walk, "tile bigint, set_id bigint, centre bigint")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs of the block pass texts and arrays to Python in batches of at most ``BATCH``, whatever their length.
+
+    Ten thousand rows, the default, are tens of MB several times over in the JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _step(df: DataFrame) -> DataFrame:
     """``df`` written; the shuffle files of the job go now, not when the driver next happens to collect its plans."""
     table = materialize(df)
@@ -247,14 +305,25 @@ def _passing(sides: DataFrame, test: Callable[..., bool]) -> DataFrame:
     return _step(sides.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _exact(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of ``near``; arrays are fetched for its ends only, once each."""
-    ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
-    arrays = _distinct(sets, ends, lambda h: h.tobytes(), "hashes")
+def _arrays(near: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, n_shingles, hashes) of the ends of ``near``, once each.
+
+    Their texts are found by marks of their keys, a table of bounded size, so that no other text leaves its
+    task or is cut into shingles (but those that share a mark, which go by their set).
+    """
+    ends = _step(near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct())
+    place = F.pmod("key", F.lit(PLACES))
+    words = F.broadcast(marks(kept.join(ends, "set_id", "left_semi").select(place.alias("place")), "place"))
+    asked = with_mark(docs.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(PLACES))), words, "place")
+    return _step(_distinct(_sets(asked.select("doc_id", "text")), ends, lambda h: h.tobytes(), "hashes"))
+
+
+def _exact(near: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The linked ones of ``near``."""
     return _passing(_sides(near, arrays, "hashes"), lambda na, xa, nb, xb: linked(np.frombuffer(xa, "<u8"), np.frombuffer(xb, "<u8")))
 
 
-def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
+def _check(pairs: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among distinct pairs (a, b) that give the components of all links among them.
 
     Sizes decide first, then bitmaps, then arrays. Arrays are large, and a set has a near pair with each of
@@ -263,13 +332,18 @@ def _check(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
     sized = _sides(pairs, kept.select("set_id", "n_shingles"), "n_shingles")
     fit = _step(sized.where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "b"))
     near = _passing(_sides(fit, kept, "bits"), may_link)
-    one = _exact(_step(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), sets)
+    if near.isEmpty():
+        return near
+    arrays = _arrays(near, kept, docs)
+    one = _exact(_step(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), arrays)
     roots = _step(smallest_reachable(one))
     rooted = near
     for end in ("a", "b"):
         rooted = rooted.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
     apart = rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    return one.unionByName(_exact(_step(apart), sets))
+    more = _exact(_step(apart), arrays)
+    release(arrays)
+    return one.unionByName(more)
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
@@ -277,9 +351,9 @@ def _marks(wanted: DataFrame) -> np.ndarray:
     place = F.pmod(F.xxhash64("set_id"), F.lit(PLACES))
     words = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("word"))
              .agg(F.expr("bit_or(shiftleft(1L, int(p % 32)))").alias("bits")).toArrow())
-    marks = np.zeros(PLACES // 32, np.uint32)
-    marks[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
-    return marks
+    found = np.zeros(PLACES // 32, np.uint32)
+    found[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    return found
 
 
 def _distinct(sets: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
@@ -289,7 +363,7 @@ def _distinct(sets: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], b
     the task that reads them, before the shuffle. The join drops the unwanted sets whose place is marked.
     """
     wanted = _step(wanted)
-    marks = sets.sparkSession.sparkContext.broadcast(_marks(wanted))
+    asked_places = sets.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def one_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -297,7 +371,7 @@ def _distinct(sets: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], b
             if len(seen) > 1_000_000:
                 seen.clear()
             place = batch.column(3).to_numpy()
-            asked = (marks.value[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            asked = (asked_places.value[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
             new = [ok and x not in seen and not seen.add(x) for ok, x in zip(asked.tolist(), batch.column(0).to_pylist(), strict=True)]
             batch = batch.filter(pa.array(new, pa.bool_()))
             made = [form(np.frombuffer(x, "<u8")) for x in batch.column(2).to_pylist()]
@@ -402,20 +476,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are their own component. A null id counts as largest. An empty table gives no row.
     """
     prepare(docs.sparkSession)
-    sets = _step(_sets(column_view(docs, doc_id=id_col, text=text_col)))
-    classes = _step(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    multi = _step(_centred(_tile_rows(sets, frequent(sets))).select("centre", "set_id").distinct())
-    wanted = multi.select("set_id").union(multi.select("centre")).distinct()
-    kept = _step(_distinct(sets, wanted, bitmap, "bits"))
-    pairs = multi.select(F.least("centre", "set_id").alias("a"), F.greatest("centre", "set_id").alias("b")).distinct()
-    edges = _check(pairs, kept, sets)
-    roots = _step(smallest_reachable(edges))
-    apart = _step(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"))
-    more = _check(apart, kept, sets)
-    rows = _step(sets.select("doc_id", "n_shingles", "set_id"))
-    for table in (sets, kept):
-        release(table)
+    view = column_view(docs, doc_id=id_col, text=text_col)
+    with small_batches(docs.sparkSession):
+        scanned = _step(_scan(view))
+        kept = _step(scanned.where("set_id IS NOT NULL").groupBy("set_id", "n_shingles").agg(
+            F.first("bits").alias("bits"), F.min("key").alias("key"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
+        often = frequent(scanned)
+        rows = _step(scanned.where("times IS NULL").select("doc_id", "n_shingles", "set_id"))
+        release(scanned)
+        multi = _step(_centred(_tile_rows(view, often)).select("centre", "set_id").distinct())
+        pairs = multi.select(F.least("centre", "set_id").alias("a"), F.greatest("centre", "set_id").alias("b")).distinct()
+        edges = _check(pairs, kept, view)
+        roots = _step(smallest_reachable(edges))
+        apart = _step(_apart(multi, roots, kept).join(pairs, ["a", "b"], "left_anti"))
+        more = _check(apart, kept, view)
+    classes = _step(kept.select("set_id", "first_id", "rows"))
+    release(kept)
     roots = materialize(smallest_reachable(materialize(edges.union(more))))
     named = classes.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))

@@ -2,7 +2,9 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
+import pyarrow as pa
 from pitpanel.llm import jaccard
 
 SCHEMA = "doc_id bigint, text string, set_id int"
@@ -82,3 +84,32 @@ def test_arrays_take_their_form_before_the_shuffle(spark):
             break
         below.append(lines[i])
     assert not any("Exchange" in x for x in below)
+
+
+def test_arrays_of_all_sets_are_not_written(spark, monkeypatch):
+    """What is written of unlike texts is less than the texts; arrays of shingles are several times that."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(400)), 0) for i in range(300)]
+    written = []
+
+    def recorded(df):
+        table = write(df)
+        written.append(sum(f.stat().st_size for f in Path(table._written_to.removeprefix("file:")).glob("*.parquet")))
+        return table
+    write = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", recorded)
+    assert jaccard.components(spark.createDataFrame(rows, SCHEMA)).count() == 300
+    assert max(written) < sum(len(t) for _, t, _ in rows) / 3
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    docs = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 200000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with jaccard.small_batches(spark):
+        assert max(r.n for r in docs.mapInArrow(sizes, "n bigint").collect()) < 5_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
