@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.llm import exact, fertility, jaccard, mixing, packing
-from pitpanel.llm.common import materialize
+from pitpanel.llm.common import marks, materialize, with_mark
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: tokens are no SQL matter; the tests hold the pipeline against brute force
@@ -70,7 +70,8 @@ def _first(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _keep(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    return rows.join(materialize(keys), "_row", "left_semi").select(*COLUMNS)
+    """The ``rows`` of ``keys``, met as one bit a row: a table that small is broadcast where keys would have texts shuffled."""
+    return with_mark(rows, materialize(marks(keys, "_row")), "_row").select(*COLUMNS)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),

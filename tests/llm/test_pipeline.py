@@ -61,3 +61,17 @@ def test_mix_repeats_each_row_by_its_own_share(spark):
         times[i, t, s] = (2 * n + size) // (2 * size)
     want = [k for k, n in times.items() for _ in range(n)]
     assert len(set(times.values())) > 1 and kept(spark, corpus_pipeline.mix_sources, rows) == in_order(want)
+
+
+def test_texts_of_kept_rows_are_not_shuffled(spark):
+    docs = spark.range(0, 200_000, 1, 3).selectExpr("id AS doc_id", "sha2(string(id), 256) AS text", "'en' AS lang", "'s' AS source", "64L AS n_chars")
+    rows = corpus_pipeline._rows(docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        kept = corpus_pipeline._keep(rows, rows.where("text < '8'").repartition(4, "text").select("_row"))
+        got = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(r.doc_id for r in docs.where("text < '8'").collect())
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
