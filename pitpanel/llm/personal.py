@@ -9,6 +9,7 @@ classifier over the candidates' features, trained on those beliefs, decides.
 from __future__ import annotations
 
 import math
+import string
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -16,43 +17,61 @@ from pyspark.sql import functions as F
 
 from .common import column_view, materialize
 
-_LOCAL = "[A-Za-z0-9._%+-]"
-# each starts at the head of its run of characters, or where the last span ended, so that no text is
-# scanned twice; possessive repeats keep long runs off the regex stack
+# characters one by one: Java looks them up at once, where ranges and \w are tried in turn
+_LOCAL = string.ascii_letters + string.digits + r"._%+\-"
+_SECRET = string.ascii_letters + string.digits + r"_/+=\-"
+# possessive repeats keep long runs off the regex stack
 BASE = {
-    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "email": rf"[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 LOOSE = {
-    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+",
+    "secret": rf"[{_SECRET}]{{16,}}+",
     "date": r"(?<![0-9./-])[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}(?![0-9./-])",
     "number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+PATTERN = BASE | LOOSE
+# what lies between matches, run by run: a run of a match's first characters begins one at its head or nowhere
+GAP = {k: rf"(?:[^0-9]++|(?!{p})[0-9]++)*+" for k, p in PATTERN.items()} | {
+    "email": rf"(?:[^{_LOCAL}]++|(?!{BASE['email']})[{_LOCAL}]++)*+",
+    "phone": rf"(?:[^+]++|(?!{BASE['phone']})\+)*+",
+    "secret": rf"(?:[{_SECRET}]{{0,15}}+[^{_SECRET}]++)*+",
+}
 GAZETTEER = r"(?i)(?:token|key|secret|password|passwd|auth|bearer|ssn|social security|born|birth|dob|passport|account)\W*$"
 BEFORE = 24
 LABELERS = ("v_regex", "v_gazetteer", "v_assigned", "v_varied")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Every match as (start, end, match), in code points: gaps and matches take turns."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    span = "array<struct<start:int,end:int,hit:string>>"
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
+def _matches(text: Column, kind: str, group: int) -> Column:
+    """Every match (group 2), or what lies before each (group 1): a text is read once, from the end of the last match."""
+    return F.regexp_extract_all(text, F.lit(rf"\G({GAP[kind]})({PATTERN[kind]})"), F.lit(group))
+
+
+def hits(text: Column, has_digit: Column, kind: str) -> Column:
+    """Every match of a kind, looked for only in texts that hold a character it needs."""
+    needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "secret": F.lit(True)}
+    return F.when(needs.get(kind, has_digit), _matches(text, kind, 2)).otherwise(F.array().cast("array<string>"))
+
+
+def _found(text: Column, found: Column, kind: str) -> Column:
+    """The matches ``found`` as (start, end, hit, before), in code points; only texts with a match are read again, for the gaps."""
+    pairs = F.arrays_zip(_matches(text, kind, 1).alias("gap"), found.alias("hit"))
+    span = "array<struct<start:int,end:int,hit:string,before:string>>"
+    seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(span).alias("spans"))
+
+    def last(*parts):
+        return F.substring(F.concat(*parts), -BEFORE, BEFORE)
 
     def step(acc, p):
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["hit"])
-        spans = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"))))
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        before = last(acc["tail"], p["gap"])
+        spans = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"), before.alias("before"))))
+        return F.struct(end.alias("at"), last(acc["tail"], p["gap"], p["hit"]).alias("tail"), spans.alias("spans"))
 
-    # the last gap has no match after it
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, seed, step)["spans"]).otherwise(F.array().cast(span))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, seed, step)["spans"]).otherwise(F.array().cast(span))
 
 
 def _luhn(digits: Column) -> Column:
@@ -77,21 +96,17 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Valid spans of a fixed kind."""
-    found = F.filter(_found(text, BASE[kind]), lambda s: _valid(kind, s["hit"]))
-    if NEEDS[kind]:
-        found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+def base_spans(text: Column, found: Column, kind: str) -> Column:
+    """Valid spans of a fixed kind, of its :func:`hits`."""
+    valid = F.filter(_found(text, found, kind), lambda s: _valid(kind, s["hit"]))
+    return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
-def candidates(text: Column, kind: str) -> Column:
-    """Loose spans with votes (1, 0, or -1 for none) and features, but without their text."""
+def candidates(text: Column, found: Column, kind: str) -> Column:
+    """Loose spans, of their :func:`hits`, with votes (1, 0, or -1 for none) and features, but without their text."""
     def describe(s):
-        hit = s["hit"]
+        hit, before = s["hit"], s["before"]
         n = F.length(hit)
-        low = F.greatest(s["start"] - BEFORE, F.lit(0))
-        before = F.substring(text, low + 1, s["start"] - low)
         digits = n - F.length(F.regexp_replace(hit, "[0-9]", ""))
         letters = n - F.length(F.regexp_replace(hit, "[A-Za-z]", ""))
         varied = F.size(F.array_distinct(F.split(hit, "")))
@@ -105,7 +120,7 @@ def candidates(text: Column, kind: str) -> Column:
             F.least(F.floor(n / 8), F.lit(8)).cast("string").alias("f_length"),
             F.floor(4 * digits / n).cast("string").alias("f_digits"), F.floor(4 * letters / n).cast("string").alias("f_letters"),
             F.regexp_extract(before, "(.?)\\s*$", 1).rlike("[A-Za-z0-9]").cast("string").alias("f_after_word"))
-    return F.transform(_found(text, LOOSE[kind]), describe)
+    return F.transform(_found(text, found, kind), describe)
 
 
 def reliabilities(patterns: list[tuple], rounds: int = 100) -> tuple[dict, dict]:
@@ -137,9 +152,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     Only counts per vote pattern and per feature value reach the driver: their number is fixed.
     """
     view = column_view(docs, doc_id=id_col, text=text_col)
-    text = F.coalesce("text", F.lit(""))
-    found = materialize(view.select("doc_id", *[base_spans(text, k).alias(k) for k in BASE],
-                                    F.concat(*[candidates(text, k) for k in LOOSE]).alias("loose")))
+    # columns of their own, as they are read more than once: most texts hold no digit and few a match
+    texts = view.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("has_digit", F.col("text").rlike("[0-9]"))
+    matched = texts.select("doc_id", "text", *[hits(F.col("text"), F.col("has_digit"), k).alias(f"{k}_hits") for k in PATTERN])
+    of = lambda k: (F.col("text"), F.col(f"{k}_hits"), k)
+    found = materialize(matched.select("doc_id", *[base_spans(*of(k)).alias(k) for k in BASE],
+                                       F.concat(*[candidates(*of(k)) for k in LOOSE]).alias("loose")))
     each = found.select(F.explode("loose").alias("c")).select("c.*")
     names = [c for c in each.columns if c.startswith(("v_", "f_"))]
     patterns = [tuple(r) for r in each.groupBy("kind", *LABELERS).count().collect()]

@@ -29,3 +29,39 @@ def test_base_spans(spark):
         assert row.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), (row, spans)
         assert row.spans.split(",")[:len(spans)] == spans or not spans
     assert personal.find(df.limit(0)).collect() == []
+
+
+LOOSE_RULES = {"secret": r"[A-Za-z0-9_/+=-]{16,}", "date": r"(?<![0-9./-])[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}(?![0-9./-])",
+               "number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"}
+
+
+def written(spark, monkeypatch, texts):
+    """The table of spans that the operator writes, as it is before it is written."""
+    seen = []
+    monkeypatch.setattr(personal, "materialize", lambda df: seen.append(df) or df)
+    personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    return seen[0]
+
+
+def test_candidates(spark, monkeypatch):
+    run = "a1B2c3D4e5F6g7H8"
+    texts = [f"key: {run}é{run}x token={run}, {run[:15]} {run}", "é" * 30 + run, f"{run} {run} {run}", f"\U0001F600 password \U0001F600{run}",
+             "born 1.2.2020 11.2.2020. 1/2/2020-1 3-4-1999 ssn 123-45-6789 1123-45-6789 123-45-6789-1 12-3-2020,4.5.2021",
+             "1.2.20201 123-45-67890 ++1 555 123 4567+1 (555) 123-4567 ++", "a " * 100_000 + run, "1 é" * 100_000 + "1.2.2020", "+ @é" * 50_000]
+    for row in written(spark, monkeypatch, texts).collect():
+        text = texts[row.doc_id]
+        for kind, rule in RULES.items():
+            assert [tuple(s) for s in row[kind]] == [m.span() for m in re.finditer(rule, text) if valid(kind, m[0])], (row.doc_id, kind)
+        spans = [(k, m) for k, p in LOOSE_RULES.items() for m in re.finditer(p, text)]
+        assert [(c.kind, c.start, c.end) for c in row.loose] == [(k, *m.span()) for k, m in spans], row.doc_id
+        for c, (_, m) in zip(row.loose, spans):
+            before = text[max(m.start() - personal.BEFORE, 0):m.start()]
+            assert c.v_gazetteer == (1 if re.search(personal.GAZETTEER, before, re.ASCII) else -1), (row.doc_id, c)
+            assert c.v_assigned == (1 if re.search(r"[=:][\s\"']*\Z", before) else 0 if re.search(r"[A-Za-z]\s+\Z", before) else -1), (row.doc_id, c)
+
+
+def test_each_text_is_read_once_for_matches(spark, monkeypatch):
+    """One look for digits, and one reading for the matches of each kind; a second, for the gaps, only where there is one."""
+    plan = written(spark, monkeypatch, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE\(text#\d+, \[0-9\]\)", plan)) == 1, plan
+    assert plan.count("regexp_extract_all(") <= 2 * len(personal.PATTERN) and "split(text" not in plan, plan
